@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.nearest import nearest_in_time
-from pulsegrid.session import table
+from pulsegrid.llm.packing import pack
+from pulsegrid.llm.tokens import Encoder, encode
+from pulsegrid.session import frozen, table
 
 DIODE_MS, CSC_MS = 15, 200
 
@@ -38,5 +40,35 @@ WITH ttl AS (SELECT rec_id, session_id, timestamp AS t FROM nlx_event WHERE ltri
 SELECT event_rec_id, target, target_rec_id FROM ranked WHERE k = 1
 """
 
-QUERIES = {f.__name__: f for f in (p2_found,)}
-ORACLES: dict[str, str] = {"p2_found": P2_SQL}
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's token ids."""
+    return encode(table(spark, d, "documents"))
+
+
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    docs = table(spark, d, "documents")
+    encoder = Encoder().fit(docs)
+    return docs.select("doc_id", encoder.ids(F.col("text")).alias("ids")).select("doc_id", encoder.text(F.col("ids")).alias("text"))
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return frozen(docs.select("doc_id", "source", Encoder().fit(docs).sizes(F.col("text")).alias("size")))
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in containers of each capacity, by their size in tokens."""
+    return pack(_sizes(spark, d), table(spark, d, "pack_sizes"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each source in each window of containers."""
+    sizes = _sizes(spark, d)
+    packed = pack(sizes, table(spark, d, "pack_sizes"))
+    return packed.join(sizes.select("doc_id", "source"), "doc_id").groupBy("pack_name", "window_no", "source").agg(F.sum("n_tokens").alias("tokens"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p6_ids, p6_decoded, p7_packed, p7_mixture)}
+ORACLES: dict[str, str] = {"p2_found": P2_SQL, "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
