@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.garble import examine
 from pulsegrid.llm.nearest import nearest_in_time
 from pulsegrid.llm.packing import pack
 from pulsegrid.llm.tokens import Encoder, encode
@@ -70,5 +71,15 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return packed.join(sizes.select("doc_id", "source"), "doc_id").groupBy("pack_name", "window_no", "source").agg(F.sum("n_tokens").alias("tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_ids, p6_decoded, p7_packed, p7_mixture)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which all or a passage was read in the wrong encoding."""
+    return examine(table(spark, d, "documents")).filter("found").select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The texts given back, with the swap that was undone; texts with lost characters only have none."""
+    return examine(table(spark, d, "documents")).filter("found and swap is not null").select("doc_id", "swap", "restored")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p6_ids, p6_decoded, p7_packed, p7_mixture, p8_found, p8_restored)}
 ORACLES: dict[str, str] = {"p2_found": P2_SQL, "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
