@@ -89,5 +89,41 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return channel_grid(spark, d).filter("covered = 0").select("session_id", "channelnumber", "slot")
 
 
+P1_SQL = r"""
+WITH h AS (SELECT header_id, admaxvalue, headertext AS raw,
+       CASE WHEN regexp_matches(adbitvolts, '\d') THEN adbitvolts ELSE nullif(trim(regexp_extract(headertext, '(?im)^-ADBitVolts[ \t]+([^\r\n]*)', 1)), '') END AS txt,
+       CASE WHEN regexp_matches(inputrange, '\d') THEN inputrange ELSE nullif(trim(regexp_extract(headertext, '(?im)^-InputRange[ \t]+([^\r\n]*)', 1)), '') END AS ranges,
+       coalesce(nullif(regexp_extract(headertext, '(?im)^-ADBitVoltsUnits[ \t]+([^\r\n]*)', 1), ''), nullif(regexp_extract(headertext, '(?im)^#[^\r\n]*\bin ((?:milli|micro|nano)?volts?)', 1), '')) AS noted,
+       coalesce(lower(trim(inputinverted)), '') IN ('true', 't', 'yes', 'y', '1', 'on', 'inverted') AS inverted FROM nlx_header),
+parts AS (SELECT *, CASE WHEN txt LIKE '%;%' THEN string_split(txt, ';') ELSE regexp_extract_all(txt, '[0-9]+(?:[.,][0-9]+)?(?:[eE][+-]?[0-9]+)?') END AS p,
+       CASE WHEN txt LIKE '%;%' THEN NULL ELSE nullif(trim(regexp_extract(txt, '[0-9]\s*([a-zA-Zµμ][^0-9]*)$', 1)), '') END AS last_unit FROM h WHERE regexp_matches(txt, '\d')),
+e AS (SELECT *, unnest(p) AS q, generate_subscripts(p, 1) - 1 AS sub_channel FROM parts),
+v AS (SELECT *, CAST(replace(regexp_extract(q, '[0-9]+(?:[.,][0-9]+)?(?:[eE][+-]?[0-9]+)?'), ',', '.') AS DOUBLE) AS num,
+       lower(coalesce(last_unit, nullif(trim(regexp_extract(q, '[0-9]\s*([a-df-zA-DF-Zµμ].*)$', 1)), ''), noted)) AS unit,
+       CAST(list_extract(regexp_extract_all(ranges, '[0-9]+'), CASE WHEN len(regexp_extract_all(ranges, '[0-9]+')) = 1 THEN 1 ELSE sub_channel + 1 END) AS DOUBLE) AS span FROM e),
+u AS (SELECT *, CASE WHEN unit LIKE 'milli%' OR unit LIKE 'mv%' THEN 3 WHEN unit LIKE 'micro%' OR unit LIKE 'uv%' OR unit LIKE 'µv%' OR unit LIKE 'μv%' THEN 6 WHEN unit LIKE 'nano%' OR unit LIKE 'nv%' THEN 9 WHEN unit IS NOT NULL THEN 0
+       ELSE coalesce(3 * least(3, greatest(0, CAST(round(log10(num * admaxvalue / (coalesce(span, 1200) * 1e-6)) / 3) AS INT))), 0) END AS down FROM v)
+SELECT CAST(header_id AS BIGINT) AS header_id, CAST(sub_channel AS INT) AS sub_channel, CAST(round(num * pow(10, 12 - down)) AS BIGINT) * CASE WHEN inverted THEN -1 ELSE 1 END AS pv_per_bit FROM u WHERE down > 0
+"""
+
+P4_SQL = r"""
+WITH w AS (SELECT session_id, timestamp AS t, regexp_extract_all(lower(replace(eventstring, chr(0), ' ')), '[a-z]+|[0-9]+') AS w FROM nlx_event WHERE timestamp IS NOT NULL AND lower(eventstring) LIKE '%epoch%'),
+m AS (SELECT session_id, t, [x FOR x IN w IF regexp_matches(x, '^[0-9]+$')] AS n, [x FOR x IN w IF x IN ('start', 'begin', 'onset', 'on', 'stop', 'end', 'offset', 'off')] AS v,
+      [x FOR x IN w IF regexp_matches(x, '^[a-z]') AND x NOT IN ('epoch', 'of', 'start', 'begin', 'onset', 'on', 'stop', 'end', 'offset', 'off')] AS r FROM w),
+k AS (SELECT session_id, t, CAST(n[1] AS BIGINT) AS epoch, v[1] IN ('start', 'begin', 'onset', 'on') AS s, r[1] AS label FROM m WHERE len(n) = 1 AND len(v) = 1 AND len(r) <= 1),
+e AS (SELECT session_id, arg_min(label, t) FILTER (s AND label IS NOT NULL) AS label, min(t) FILTER (s) AS a, max(t) FILTER (NOT s) AS z FROM k GROUP BY session_id, epoch HAVING min(t) FILTER (s) <= max(t) FILTER (NOT s)),
+p AS (SELECT *, max(z) OVER (PARTITION BY session_id, label ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pz FROM e WHERE label IS NOT NULL),
+g AS (SELECT *, sum(CASE WHEN pz IS NULL OR a > pz THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, label ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS i FROM p)
+SELECT session_id, label, 'period' AS kind, min(a) AS start_us, max(z) AS stop_us FROM g GROUP BY session_id, label, i
+UNION ALL SELECT session_id, label, 'gap', pz, a FROM p WHERE a > pz
+"""
+
+P5_SQL = """
+WITH h AS (SELECT session_id, channelnumber, max(samplingfrequency) AS f FROM nlx_header WHERE filetype IN ('CSC', 'NCS') AND samplingfrequency > 0 GROUP BY ALL),
+s AS (SELECT DISTINCT c.session_id, c.channelnumber, CAST(floor((timestamp - min(timestamp) OVER (PARTITION BY c.session_id, c.channelnumber)) * f / 512e6 + 0.5) AS BIGINT) AS slot FROM nlx_csc c JOIN h USING (session_id, channelnumber) WHERE timestamp IS NOT NULL),
+g AS (SELECT session_id, channelnumber, unnest(generate_series(0, max(slot))) AS slot FROM s GROUP BY session_id, channelnumber)
+SELECT CAST(session_id AS BIGINT) AS session_id, channelnumber, slot FROM g ANTI JOIN s USING (session_id, channelnumber, slot)
+"""
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_all, p3_found, p4_found, p5_found)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
