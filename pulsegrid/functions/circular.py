@@ -47,9 +47,9 @@ def moments(df: DataFrame, keys: Sequence[str], theta: str = "theta", weight: Co
     # the second central moment about the angle of the second moment has the second moment's length
     d = d.withColumn("dispersion", F.try_divide(1 - F.sqrt(F.col("_c2") * F.col("_c2") + F.col("_s2") * F.col("_s2")), 2 * F.col("r") * F.col("r")))
     n, rr = F.col("n"), F.col("r")
-    S = (1 - 1 / (2 * n)) * 2 * n * rr * rr + n * F.pow(rr, 4) / 2
+    S = (1 - F.try_divide(F.lit(1.0), 2 * n)) * 2 * n * rr * rr + n * F.pow(rr, 4) / 2
     z = NormalDist().inv_cdf(1 - alpha / 2)
-    return d.withColumns({"re2": F.col("_c2"), "im2": F.col("_s2"), "std": F.sqrt(-2 * F.ln("r")), "ci": F.asin(F.least(F.lit(1.0), z * F.sqrt(F.col("dispersion") / n))), "rayleigh_s": S, "rayleigh_p": F.exp(-S / 2)}).drop("_c", "_s", "_c2", "_s2")
+    return d.withColumns({"re2": F.col("_c2"), "im2": F.col("_s2"), "std": F.sqrt(-2 * F.ln("r")), "ci": F.asin(F.least(F.lit(1.0), z * F.sqrt(F.try_divide(F.col("dispersion"), n)))), "rayleigh_s": S, "rayleigh_p": F.exp(-S / 2)}).drop("_c", "_s", "_c2", "_s2")
 
 
 def kuiper(df: DataFrame, keys: Sequence[str], theta: str = "theta") -> DataFrame:
