@@ -230,15 +230,16 @@ def _expect(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFr
 
 def fit(documents: DataFrame, rounds: int = ROUNDS) -> Model:
     """Learn the ciphers of every source from the whole corpus. What is collected is bounded by the alphabets."""
-    words = frozen(vocabulary(documents).repartition("token"))
+    spark = documents.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    words = frozen(vocabulary(documents).repartition(tasks, "token"))  # a fixed number: the table is small but costly per row
     model = Model({}, {}, {})
     first = words.select("lang", F.concat(F.lit(START), "token", F.lit(END)).alias("t"), "n").filter(~F.col("token").contains(LOST))
     pairs = F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring("t", i, F.lit(2)))
     rows = first.select("lang", F.explode(pairs).alias("ab"), "n").groupBy("lang", "ab").agg(F.sum("n").alias("n")).collect()
     model = Model(_by_language((r.lang, r.ab, float(r.n)) for r in rows), {}, {})
-    sc = documents.sparkSession.sparkContext
     for _ in range(rounds):
-        sent = sc.broadcast(model)
+        sent = spark.sparkContext.broadcast(model)
         sums = words.mapInPandas(lambda batches, m=sent: _expect(batches, m.value), "kind string, a string, b string, c string, d string, w double")
         rows = sums.groupBy("kind", "a", "b", "c", "d").agg(F.sum("w").alias("w")).collect()
         shares: dict = defaultdict(dict)
