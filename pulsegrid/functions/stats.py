@@ -69,9 +69,10 @@ def combine_pvalues(p: str, method: str) -> Column:
 def fisher(df: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
     """Fisher's combined p-value per key: the tail of a chi-square with 2n degrees of freedom, in closed form."""
     d = df.groupBy(*keys).agg(F.count(p).cast("int").alias("_n"), (-F.sum(F.ln(p))).alias("_x"))
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
-    total = F.aggregate(F.sequence(F.lit(1), F.col("_n")), start, lambda s, k: F.struct((s["term"] * F.col("_x") / k).alias("term"), (s["sum"] + s["term"]).alias("sum")))
-    return d.select(*keys, (F.exp(-F.col("_x")) * total["sum"]).alias("p"))
+    # terms exp(-x) x^j / j! by their logarithms: exp(-x) is 0 and x^j infinite for some hundred values
+    start = F.struct((-F.col("_x")).alias("term"), F.lit(0.0).alias("sum"))
+    total = F.aggregate(F.sequence(F.lit(1), F.col("_n")), start, lambda s, k: F.struct((s["term"] + F.ln(F.col("_x") / k)).alias("term"), (s["sum"] + F.exp(s["term"])).alias("sum")))
+    return d.select(*keys, F.when(F.col("_x") <= 0, 1.0).otherwise(total["sum"]).alias("p"))
 
 
 def mode_kde(df: DataFrame, keys: Sequence[str], x: str, grid: int = 201, decimals: int = 2) -> DataFrame:

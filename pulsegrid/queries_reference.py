@@ -278,6 +278,12 @@ pv = lambda s, d: ev(s, d).filter("user_id < 40").select("k", (F.col("user_id")
 query("stat_combine_p", lambda s, d: pv(s, d).groupBy("k", "g").agg(*[ST.combine_pvalues("p", m).alias(m) for m in ("nichols", "friston", "tippett")]), f"SELECT k, g, max(p) AS nichols, pow(max(p), count(*)) AS friston, 1 - pow(1 - min(p), count(*)) AS tippett FROM {PV} GROUP BY ALL", "nichols friston tippett", 9)
 query("stat_fisher", lambda s, d: ST.fisher(pv(s, d), ["k", "g"], "p"), f"SELECT k, g, exp(-any_value(x)) * sum(term) AS p FROM (SELECT k, g, x, j, exp(j * ln(x) - lgamma(j + 1)) AS term FROM (SELECT k, g, count(*) AS n, -sum(ln(p)) AS x FROM {PV} GROUP BY ALL), range(2000) t(j) WHERE j < n) GROUP BY k, g", "p", 7)
 query("stat_format_p", lambda s, d: pv(s, d).select("p").distinct().select(F.round("p", 6).alias("p"), ST.stars(F.col("p")).alias("stars"), ST.exact(F.col("p")).alias("exact"), ST.relative(F.col("p")).alias("relative")), f"SELECT DISTINCT round(p, 6) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS stars, printf('p=%.3f', p) AS exact, CASE WHEN p < 0.001 THEN 'p<0.001' WHEN p < 0.01 THEN 'p<0.01' WHEN p < 0.05 THEN 'p<0.05' ELSE 'p≥0.05' END AS relative FROM {PV}")
+# The same over the events of all users; Fisher's sum has as many terms as a group has values.
+PV_ALL = "(SELECT k, user_id % 20 AS g, (floor(v) % 97 + 1) / 98 AS p FROM ev)"
+pv_all = lambda s, d: ev(s, d).select("k", (F.col("user_id") % 20).alias("g"), ((F.floor("v") % 97 + 1) / 98).alias("p"))
+query("stat_combine_p_all", lambda s, d: pv_all(s, d).groupBy("k", "g").agg(*[ST.combine_pvalues("p", m).alias(m) for m in ("nichols", "friston", "tippett")]), f"SELECT k, g, max(p) AS nichols, pow(max(p), count(*)) AS friston, 1 - pow(1 - min(p), count(*)) AS tippett FROM {PV_ALL} GROUP BY ALL", "nichols friston tippett", 9)
+query("stat_fisher_all", lambda s, d: ST.fisher(pv_all(s, d), ["k", "g"], "p"), f"SELECT k, g, sum(exp(j * ln(x) - lgamma(j + 1) - x)) AS p FROM (SELECT k, g, x, unnest(range(n)) AS j FROM (SELECT k, g, count(*) AS n, -sum(ln(p)) AS x FROM {PV_ALL} GROUP BY ALL)) GROUP BY k, g", "p", 7)
+query("stat_format_p_all", lambda s, d: pv_all(s, d).select("p").distinct().select(F.round("p", 6).alias("p"), ST.stars(F.col("p")).alias("stars"), ST.exact(F.col("p")).alias("exact"), ST.relative(F.col("p")).alias("relative")), f"SELECT DISTINCT round(p, 6) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS stars, printf('p=%.3f', p) AS exact, CASE WHEN p < 0.001 THEN 'p<0.001' WHEN p < 0.01 THEN 'p<0.01' WHEN p < 0.05 THEN 'p<0.05' ELSE 'p≥0.05' END AS relative FROM {PV_ALL}")
 query("stat_mode", lambda s, d: ST.mode_kde(ev(s, d), KEY, "v", 101), """SELECT k, arg_max(gx, struct_pack(d := d, g := -g)) AS mode FROM (SELECT k, g, gx, round(sum(c * exp(-0.5 * pow((gx - vv) / h, 2))), 6) AS d FROM (SELECT q.k, g, vv, c, sd * pow(n, -0.2) AS h, lo + (hi - lo) * g / 100 AS gx FROM (SELECT k, round(v, 2) AS vv, count(*) AS c FROM ev GROUP BY ALL) q JOIN (SELECT k, count(v) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi FROM ev GROUP BY k) s USING (k), range(101) t(g)) GROUP BY ALL) GROUP BY k""", "mode", 4)
 query("stat_beta", lambda s, d: table(s, d, "part").select("p_partkey", *ST.beta_parameters(F.col("p_size") / 51.0, F.lit(4.0))), "SELECT p_partkey, (p_size / 51.0::DOUBLE) * 2 + 1 AS alpha, (1 - p_size / 51.0::DOUBLE) * 2 + 1 AS beta FROM part", "alpha beta")
 query("stat_spatial_information", lambda s, d: ST.spatial_information(E.regular_bins(ev(s, d), KEY, 0.0, 86400.0).select("k", (F.col("n") / 24.0).alias("rate"), (F.col("bin") % 5 + 1).cast("double").alias("occ")), KEY, "rate", "occ"), "SELECT k, sum(r * o / tn * log2(r / (tn / tt))) AS information FROM (SELECT *, sum(r * o) OVER (PARTITION BY k) AS tn, sum(o) OVER (PARTITION BY k) AS tt FROM (SELECT k, count(*) / 24.0::DOUBLE AS r, (floor(t / 86400) % 5 + 1)::DOUBLE AS o FROM ev GROUP BY k, floor(t / 86400))) GROUP BY k", "information", 9)
