@@ -3,19 +3,22 @@
 What has to be decided depends only on how many items of each size each source has, so the plan is made on that histogram (at
 most capacity x sources counts, whatever the number of items) and applied to the items by their position in their queue:
 
-1. Every (size, source) is a queue. Deficit round-robin over the queues of one size, with quanta in proportion to their
-   lengths, serves the j-th item of a queue of n at the virtual time (j + 1/2) / n; the deficit an item leaves behind is what
-   separates its virtual time from the exact share, and it carries on over window and partition borders because positions are
-   global. The merged position of an item follows in closed form from the lengths of the queues.
+1. Every (size, source) is a queue. The j-th item of a queue of n has the virtual time (j + 1/2) / n; the merged position of an
+   item among all items of its size follows in closed form from the lengths of the queues.
 2. Best fit, largest sizes first, on ranges of equal containers: a range of containers with the same free space takes the same
    items, so one entry of the plan stands for any number of containers.
-3. Containers are dealt to windows so that every range of equal containers is spread evenly over all of them.
+3. Containers are dealt to windows by deficit round-robin: in each round every window takes one container of a run of similar
+   ones, the one that its deficits call for (tokens of each source it has less or more than its share); deficits carry on over
+   the rounds. Windows are dealt in groups of at most about GROUP items, each an even sample of the containers; what a group's
+   own mixture differs from the corpus' (a random sample's deviation) is shared by its windows.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,23 @@ GOLDEN = 0.6180339887498949
 PACKS = 1000
 #: Containers in a window, on average.
 WINDOW = 64
+#: Items whose windows are dealt by one task, about.
+GROUP = 1 << 17
+
+
+def deal(tokens: np.ndarray, target: np.ndarray, windows: int) -> np.ndarray:
+    """Window of each container by deficit round-robin, from its tokens of each source; containers of similar content follow each other."""
+    over = tokens - target * tokens.sum(axis=1, keepdims=True)  # tokens above the container's share
+    far = (over**2).sum(axis=1)
+    rounds = [np.arange(i, min(i + windows, len(over))) for i in range(0, len(over), windows)]
+    out, carried = np.zeros(len(over), dtype=np.int64), np.zeros((windows, tokens.shape[1]))
+    for own in sorted(rounds, key=lambda r: -far[r].mean()):  # the rounds that can upset the least come last
+        served = np.zeros(windows)
+        for i in own[np.argsort(-far[own], kind="stable")]:
+            w = int(np.argmin(carried @ over[i] + served))
+            out[i], served[w] = w, np.inf
+            carried[w] += over[i]
+    return out
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]]]:
@@ -105,6 +125,7 @@ def pack(items: DataFrame, capacities: DataFrame, window: int = WINDOW) -> DataF
     histogram = cut.groupBy("pack_name", "_cap", "n_tokens", "_q").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity x SOURCES rows a pack
 
     spark, plans = items.sparkSession, []
+    targets: dict[str, tuple[list[float], int]] = {}  # shares of the sources; windows in a group
     lengths: dict[tuple[str, int], dict[int, int]] = {}
     for r in histogram:
         lengths.setdefault((r["pack_name"], r["n_tokens"]), {})[r["_q"]] = r["n"]
@@ -115,9 +136,12 @@ def pack(items: DataFrame, capacities: DataFrame, window: int = WINDOW) -> DataF
         for size, first, n, container, each in plan:
             by_size.setdefault(size, []).append((first, n, container, each))
         width = 1 + max(q for (pack_name, _), sources in lengths.items() if pack_name == name for q in sources)
-        windows = max(1, round(sum(n for _, n in ranges) / window))
-        plans += [(name, size, [lengths[name, size].get(q, 0) for q in range(width)], windows, entries) for size, entries in by_size.items()]
-    steps = spark.createDataFrame(plans, "pack_name string, n_tokens long, _lengths array<long>, _windows long, _plan array<struct<first:long,n:long,container:long,each:long>>")
+        items = sum(counts.values())
+        groups = max(1, round(items / GROUP))
+        totals = [sum(size * q.get(i, 0) for (pack_name, size), q in lengths.items() if pack_name == name) for i in range(width)]
+        targets[name] = [t / sum(totals) for t in totals], max(1, round(sum(n for _, n in ranges) / window / groups))
+        plans += [(name, size, [lengths[name, size].get(q, 0) for q in range(width)], groups, entries) for size, entries in by_size.items()]
+    steps = spark.createDataFrame(plans, "pack_name string, n_tokens long, _lengths array<long>, _groups long, _plan array<struct<first:long,n:long,container:long,each:long>>")
 
     spot = F.pmod(F.xxhash64("doc_id", "part"), F.lit(1 << 16))
     ranked = bucketed_rank(cut.withColumn("_spot", spot), ["pack_name", "n_tokens", "_q"], ["_spot", "doc_id", "part"], 256, "_rank")
@@ -127,5 +151,15 @@ def pack(items: DataFrame, capacities: DataFrame, window: int = WINDOW) -> DataF
     placed = placed.withColumn("_e", entry).withColumn("container", F.col("_e.container") + F.floor((F.col("_at") - F.col("_e.first")) / F.col("_e.each")))
     # multiples of the golden ratio lie evenly on the unit interval, and so do those of any range of containers
     even = F.col("container") * GOLDEN - F.floor(F.col("container") * GOLDEN)
-    window_no = F.floor(even * F.col("_windows")).cast("long")
-    return placed.select("pack_name", window_no.alias("window_no"), "container", "doc_id", F.col("part").cast("int").alias("part"), (F.col("part") * F.col("_cap")).alias("first_token"), "n_tokens")
+    placed = placed.withColumn("_group", F.floor(even * F.col("_groups")).cast("long")).select("pack_name", "_group", "_q", "container", "doc_id", F.col("part").cast("int").alias("part"), (F.col("part") * F.col("_cap")).alias("first_token"), "n_tokens")
+
+    def windows_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        target, each = targets[pdf["pack_name"].iloc[0]]
+        containers, at = np.unique(pdf["container"], return_inverse=True)
+        tokens = np.zeros((len(containers), len(target)))
+        np.add.at(tokens, (at, pdf["_q"].to_numpy()), pdf["n_tokens"].to_numpy())
+        return pdf.assign(window_no=pdf["_group"] * each + deal(tokens, np.array(target), each)[at])[names_out]
+
+    names_out = ["pack_name", "window_no", "container", "doc_id", "part", "first_token", "n_tokens"]
+    kinds = dict(placed.withColumn("window_no", F.col("_group")).dtypes)
+    return placed.groupBy("pack_name", "_group").applyInPandas(windows_of, ", ".join(f"{c} {kinds[c]}" for c in names_out))

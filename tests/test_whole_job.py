@@ -39,3 +39,21 @@ def test_fisher_of_many_values(spark):
     df = spark.range(1200).selectExpr("1 AS k", "exp(-1.0D) AS p")
     want = sum(math.exp(j * math.log(1200) - 1200 - math.lgamma(j + 1)) for j in range(1200))
     assert math.isclose(ST.fisher(df, ["k"], "p").first().p, want, rel_tol=1e-6)
+
+
+def test_windows_at_the_mixture(spark, monkeypatch):
+    """Token shares of the sources in every window, against those of all items, in one group of windows and in several."""
+    import numpy as np
+
+    from pulsegrid.llm import packing
+
+    rng = np.random.default_rng(5)
+    rows = [(i, str(q), int(n)) for i, (q, n) in enumerate(zip(rng.choice(4, 6000, p=[0.5, 0.25, 0.13, 0.12]), rng.integers(1, 300, 6000)))]
+    sizes = pd.DataFrame(rows, columns=["doc_id", "source", "size"])
+    target = sizes.groupby("source")["size"].sum() / sizes["size"].sum()
+    for group, worst in ((1 << 17, 0.01), (1000, 0.06)):  # a group of 1000 items is a random sample
+        monkeypatch.setattr(packing, "GROUP", group, raising=False)
+        out = packing.pack(spark.createDataFrame(sizes), spark.createDataFrame([("p", 512)], "pack_name string, capacity_tokens int"), 32).toPandas()
+        assert not out.groupby("container").window_no.nunique().gt(1).any() and out.groupby("doc_id").n_tokens.sum().tolist() == sizes["size"].tolist()
+        shares = out.merge(sizes, on="doc_id").pivot_table(index="window_no", columns="source", values="n_tokens", aggfunc="sum", fill_value=0)
+        assert (shares.div(shares.sum(axis=1), axis=0) - target).abs().values.max() < worst and 30 <= out.groupby("window_no").container.nunique().mean() <= 34
