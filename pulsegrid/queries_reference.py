@@ -124,6 +124,20 @@ query("seg_scale", lambda s, d: S.scale(A(s, d), 3.0), "SELECT k, start - 0.5 *
 query("seg_offset", lambda s, d: S.offset(A(s, d), 12.5), "SELECT k, start + 12.5 AS start, stop + 12.5 AS stop FROM a", SS)
 query("seg_split_tumbling", lambda s, d: S.split(S.merge(A(s, d), KEY), 500.0), f"SELECT k, start + 500 * j AS start, start + 500 * j + 500 AS stop FROM {M('a')}, generate_series(0, 100000) g(j) WHERE j < floor((stop - start) / 500 + 1e-7)", SS)
 query("seg_split_sliding", lambda s, d: S.split(S.merge(A(s, d), KEY), 400.0, 0.25), f"SELECT k, start + 300 * j AS start, start + 300 * j + 400 AS stop FROM {M('a')}, generate_series(0, 100000) g(j) WHERE j < floor((stop - start - 100) / 300 + 1e-7)", SS)
+# The operators on one set of segments over the windows of all events
+every = lambda s, d: ev(s, d).select("k", (F.col("t") - 600.0).alias("start"), (F.col("t") + 600.0).alias("stop"))
+EVERY = "(SELECT k, t - 600 AS start, t + 600 AS stop FROM ev)"
+query("seg_merge_all", lambda s, d: S.merge(every(s, d), KEY, bucket=86400.0), f"SELECT * FROM {M(EVERY)}", SS)
+query("seg_merge_nonstrict_all", lambda s, d: S.merge(every(s, d), KEY, strict=False), f"SELECT * FROM {M(EVERY, op='>=')}", SS)
+query("seg_join_gap_all", lambda s, d: S.join_gaps(every(s, d), KEY, 900.0), f"SELECT * FROM {M(EVERY, 900)}", SS)
+query("seg_invert_all", lambda s, d: S.invert(every(s, d), KEY).filter("start > double('-infinity') and stop < double('infinity')"), f"SELECT * FROM {INV(EVERY)} WHERE isfinite(start) AND isfinite(stop)", SS)
+query("seg_span_all", lambda s, d: S.span(every(s, d), KEY), f"SELECT k, min(start) AS start, max(stop) AS stop FROM {EVERY} GROUP BY k", SS)
+query("seg_has_overlap_all", lambda s, d: S.has_overlap(every(s, d), KEY), f"SELECT k, bool_or(n < stop) AS has_overlap FROM (SELECT *, lead(start) OVER (PARTITION BY k ORDER BY start, stop) AS n FROM {EVERY}) GROUP BY k")
+query("seg_intervals_all", lambda s, d: S.intervals(S.merge(every(s, d), KEY), KEY), f"SELECT *, lead(start) OVER (PARTITION BY k ORDER BY start) - stop AS interval FROM {M(EVERY)}", SS + " interval")
+query("seg_scale_all", lambda s, d: S.scale(every(s, d), 3.0), f"SELECT k, start - 0.5 * 2 * (stop - start) AS start, stop + 0.5 * 2 * (stop - start) AS stop FROM {EVERY}", SS)
+query("seg_offset_all", lambda s, d: S.offset(every(s, d), 12.5), f"SELECT k, start + 12.5 AS start, stop + 12.5 AS stop FROM {EVERY}", SS)
+query("seg_split_tumbling_all", lambda s, d: S.split(S.merge(every(s, d), KEY), 500.0), f"SELECT k, start + 500 * j AS start, start + 500 * j + 500 AS stop FROM (SELECT *, unnest(range(CAST(floor((stop - start) / 500 + 1e-7) AS BIGINT))) AS j FROM {M(EVERY)})", SS)
+query("seg_split_sliding_all", lambda s, d: S.split(S.merge(every(s, d), KEY), 400.0, 0.25), f"SELECT k, start + 300 * j AS start, start + 300 * j + 400 AS stop FROM (SELECT *, unnest(range(CAST(floor((stop - start - 100) / 300 + 1e-7) AS BIGINT))) AS j FROM {M(EVERY)})", SS)
 query("seg_contains_semi", lambda s, d: S.contains(ev(s, d), Bq(s, d), KEY, 900.0), "SELECT * FROM ev WHERE EXISTS (SELECT 1 FROM b WHERE b.k = ev.k AND t >= start AND t < stop)", "t")
 query("seg_contains_anti", lambda s, d: S.contains(ev(s, d), Bq(s, d), KEY, 900.0, anti=True), "SELECT * FROM ev WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k = ev.k AND t >= start AND t < stop)", "t")
 query("seg_count_index", lambda s, d: S.count_in(ev(s, d), S.merge(Bq(s, d), KEY), KEY, 1000.0, ("t", "event_id")), f"""SELECT m.k, m.start, m.stop, count(e.i) AS n, coalesce(min(e.i), -1) AS first, coalesce(max(e.i), -1) AS last FROM {M('b')} m

@@ -57,3 +57,18 @@ def test_windows_at_the_mixture(spark, monkeypatch):
         assert not out.groupby("container").window_no.nunique().gt(1).any() and out.groupby("doc_id").n_tokens.sum().tolist() == sizes["size"].tolist()
         shares = out.merge(sizes, on="doc_id").pivot_table(index="window_no", columns="source", values="n_tokens", aggfunc="sum", fill_value=0)
         assert (shares.div(shares.sum(axis=1), axis=0) - target).abs().values.max() < worst and 30 <= out.groupby("window_no").container.nunique().mean() <= 34
+
+
+def test_segments_of_all_events(spark, folder):
+    d, e = folder
+    t = e.assign(t=(e.ts - pd.Timestamp("2024-01-01")).dt.total_seconds())
+    merged, gaps = set(), set()
+    for k, own in t.sort_values("t").groupby("k"):
+        new = own.t.diff().gt(1200).cumsum()
+        ends = own.groupby(new).t.agg(["min", "max"]).to_numpy()
+        merged |= {(k, a - 600, z + 600) for a, z in ends}
+        gaps |= {(k, a[1] + 600, z[0] - 600) for a, z in zip(ends, ends[1:])}
+    run = lambda name: {tuple(r)[:3] for r in entry.queries()[name](spark, d).collect()}
+    assert run("seg_merge_all") == run("seg_intervals_all") == merged and run("seg_invert_all") == gaps
+    assert run("seg_span_all") == {(k, own.t.min() - 600, own.t.max() + 600) for k, own in t.groupby("k")}
+    assert run("seg_offset_all") == {(k, x - 587.5, x + 612.5) for k, x in zip(t.k, t.t)} and run("seg_scale_all") == {(k, x - 1800, x + 1800) for k, x in zip(t.k, t.t)}
