@@ -184,25 +184,26 @@ def sample_path(nodes: Sequence[Sequence[float]], oversampling: int = 20, closed
     return m[k] * a**3 / (6 * hk) + m[k + 1] * b**3 / (6 * hk) + (p[k] / hk - m[k] * hk / 6) * a + (p[k + 1] / hk - m[k + 1] * hk / 6) * b
 
 
-def shortest_paths(links: DataFrame, sources: DataFrame, rounds: int = 50) -> DataFrame:
+def shortest_paths(links: DataFrame, sources: DataFrame) -> DataFrame:
     """Distance and previous node from each source to every node it reaches: src, node, distance, previous.
 
-    ``links`` (a, b, length; both directions), ``sources`` (node). Each round relaxes one more link and keeps the best per
-    (source, node); lineage is cut by a checkpoint, and it ends when nothing gets shorter.
+    ``links`` (a, b, length; both directions; without length no link), ``sources`` (node). Each round relaxes the links of the
+    nodes that came nearer and keeps the best per (source, node); lineage is cut by a checkpoint, and it ends when nothing gets
+    shorter, which is certain as lengths must not be negative.
     """
     from pulsegrid.session import frozen
 
+    links = links.filter("length is not null")
+    if not links.filter("length < 0").isEmpty():
+        raise ValueError("negative length")
     both = links.select("a", "b", "length").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "length"))
-    best = frozen(sources.select(F.col("node").alias("src"), "node", F.lit(0.0).alias("distance"), F.lit(None).cast(sources.schema["node"].dataType).alias("previous")))
-    total = None
-    for _ in range(rounds):
-        step = best.join(both, best.node == both.a).select("src", F.col("b").alias("node"), (F.col("distance") + F.col("length")).alias("distance"), F.col("a").alias("previous"))
-        best = frozen(best.unionByName(step).groupBy("src", "node").agg(F.min(F.struct("distance", "previous")).alias("_m")).select("src", "node", "_m.distance", "_m.previous"))
-        now = best.agg(F.count(F.lit(1)), F.sum("distance")).first()
-        if now == total:
-            break
-        total = now
-    return best
+    best = frozen(sources.select(F.col("node").alias("src"), "node", F.lit(0.0).alias("distance"), F.lit(None).cast(sources.schema["node"].dataType).alias("previous"), F.lit(True).alias("_nearer")).distinct())
+    while not best.filter("_nearer").isEmpty():
+        step = best.filter("_nearer").join(both, best.node == both.a).select("src", F.col("b").alias("node"), (F.col("distance") + F.col("length")).alias("distance"), F.col("a").alias("previous"))
+        both_rounds = best.select("src", "node", "distance", "previous", F.col("distance").alias("_old")).unionByName(step, allowMissingColumns=True)
+        found = both_rounds.groupBy("src", "node").agg(F.min(F.struct("distance", "previous")).alias("_m"), F.min("_old").alias("_old"))
+        best = frozen(found.select("src", "node", "_m.distance", "_m.previous", (F.col("_old").isNull() | (F.col("_m.distance") < F.col("_old"))).alias("_nearer")))
+    return best.drop("_nearer")
 
 
 def path_between(links: Sequence[tuple], a, b) -> tuple[float, list] | None:

@@ -72,3 +72,14 @@ def test_segments_of_all_events(spark, folder):
     assert run("seg_merge_all") == run("seg_intervals_all") == merged and run("seg_invert_all") == gaps
     assert run("seg_span_all") == {(k, own.t.min() - 600, own.t.max() + 600) for k, own in t.groupby("k")}
     assert run("seg_offset_all") == {(k, x - 587.5, x + 612.5) for k, x in zip(t.k, t.t)} and run("seg_scale_all") == {(k, x - 1800, x + 1800) for k, x in zip(t.k, t.t)}
+
+
+def test_shortest_paths_of_many_links(spark):
+    """A chain of 54 links, and a direct link to its end that is longer than the chain."""
+    from pulsegrid.functions import geometry as G
+
+    links = spark.createDataFrame([(i, i + 1, 1.0) for i in range(54)] + [(0, 54, 60.0), (3, 5, None)], "a long, b long, length double").coalesce(1)
+    got = {r.node: (r.distance, r.previous) for r in G.shortest_paths(links, spark.createDataFrame([(0,)], "node long")).collect()}
+    assert got == {i: (float(i), i - 1 if i else None) for i in range(55)}
+    with pytest.raises(ValueError):
+        G.shortest_paths(spark.createDataFrame([(0, 1, -1.0)], "a long, b long, length double"), spark.createDataFrame([(0,)], "node long"))
