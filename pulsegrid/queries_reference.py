@@ -329,6 +329,7 @@ query("circ_moments", lambda s, d: C.moments(ang(s, d), KEY), f"""SELECT k, n, m
 query("circ_kuiper", lambda s, d: C.kuiper(ang(s, d), KEY), f"SELECT k, v, (8 * v * v - 2) * exp(-2 * v * v) AS p FROM (SELECT k, (max(u) - min(u) + 1 / any_value(n)) * (sqrt(any_value(n)) + 0.155 + 0.24 / sqrt(any_value(n))) AS v FROM (SELECT k, n, theta / {TAU!r} - (row_number() OVER (PARTITION BY k ORDER BY theta) - 1) / n AS u FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM ang)) GROUP BY k)", "v p")
 query("circ_rank", lambda s, d: C.rank(ang(s, d), KEY).select("event_id", "rank"), f"SELECT event_id, {TAU!r} * (rank() OVER (PARTITION BY k ORDER BY theta) + (count(*) OVER (PARTITION BY k, theta) - 1) / 2) / count(*) OVER (PARTITION BY k) AS rank FROM ang", "rank")
 query("circ_interval", lambda s, d: C.interval(ang(s, d).filter("theta < 5"), KEY), f"SELECT k, {TAU!r} - max(g) AS interval FROM (SELECT k, coalesce(lead(theta) OVER (PARTITION BY k ORDER BY theta), min(theta) OVER (PARTITION BY k) + {TAU!r}) - theta AS g FROM ang WHERE theta < 5) GROUP BY k", "interval")
+query("circ_interval_all", lambda s, d: C.interval(ang(s, d), KEY), f"SELECT k, {TAU!r} - max(g) AS interval FROM (SELECT k, coalesce(lead(theta) OVER (PARTITION BY k ORDER BY theta), min(theta) OVER (PARTITION BY k) + {TAU!r}) - theta AS g FROM ang) GROUP BY k", "interval")
 query("circ_hist", lambda s, d: C.histogram(ang(s, d), KEY), f"SELECT k, CAST(floor(theta / ({TAU!r} / 24) + 0.5) % 24 AS INT) AS bin, count(*) AS n FROM ang GROUP BY ALL")
 query("circ_kde", lambda s, d: C.kde(ang(s, d), KEY), f"SELECT k, CAST(b AS INT) AS bin, avg(exp(5 * cos(theta - {TAU!r} * b / 24)) / ({TAU!r} * 27.239871823604442)) AS density FROM ang, range(24) t(b) GROUP BY ALL", "density")
 query("circ_median", lambda s, d: C.median(ang(s, d), KEY), f"SELECT k, arg_min(a, struct_pack(c := c, a := a)) AS median FROM (SELECT p.k, p.theta AS a, round(avg(abs(p.theta - q.theta + {math.pi!r} - floor((p.theta - q.theta + {math.pi!r}) / {TAU!r}) * {TAU!r} - {math.pi!r})), 9) AS c FROM ang p JOIN ang q USING (k) GROUP BY ALL) GROUP BY k", "median", 5)
@@ -350,6 +351,7 @@ query("geo_path_length", lambda s, d: G.path_length(sig(s, d).select("k", "i", F
 query("geo_bounding_box", lambda s, d: xy(s, d).join(line(s, d).select("l_orderkey", "l_linenumber", "l_returnflag"), ["l_orderkey", "l_linenumber"]).groupBy("l_returnflag").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")), "SELECT l_returnflag, min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_discount) AS y0, max(l_discount) AS y1 FROM lineitem GROUP BY ALL")
 SIDES = " UNION ALL ".join(f"SELECT {i} AS edge, {x0}::DOUBLE AS x0, {y0}::DOUBLE AS y0, {x1}::DOUBLE AS x1, {y1}::DOUBLE AS y1, {sum(math.hypot(c - a, e - b) for a, b, c, e in G.edges(PATH, False)[:i])!r}::DOUBLE AS before" for i, (x0, y0, x1, y1) in enumerate(G.edges(PATH, False)))
 query("geo_point_to_polyline", lambda s, d: xy(s, d).filter("y <> 0.05").withColumn("n", G.point_to_polyline(F.col("x"), F.col("y"), PATH)).select("l_orderkey", "l_linenumber", F.abs("n.distance").alias("distance"), "n.along_path").distinct(), f"""SELECT l_orderkey, l_linenumber, min(dd) AS distance, arg_min(b * len + before, struct_pack(d := dd, e := edge)) AS along_path FROM (SELECT *, sqrt(pow(x - x0 - b * (x1 - x0), 2) + pow(y - y0 - b * (y1 - y0), 2)) AS dd FROM (SELECT *, greatest(0.0, least(1.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (len * len))) AS b FROM (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS len FROM (SELECT DISTINCT * FROM {XY}) CROSS JOIN ({SIDES})) WHERE y <> 0.05)) GROUP BY l_orderkey, l_linenumber, x, y""", "distance along_path", 5)
+query("geo_point_to_polyline_all", lambda s, d: xy(s, d).withColumn("n", G.point_to_polyline(F.col("x"), F.col("y"), PATH)).select("l_orderkey", "l_linenumber", F.abs("n.distance").alias("distance"), "n.along_path").distinct(), f"""SELECT l_orderkey, l_linenumber, min(dd) AS distance, arg_min(b * len + before, struct_pack(d := dd, e := edge)) AS along_path FROM (SELECT *, sqrt(pow(x - x0 - b * (x1 - x0), 2) + pow(y - y0 - b * (y1 - y0), 2)) AS dd FROM (SELECT *, greatest(0.0, least(1.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (len * len))) AS b FROM (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS len FROM (SELECT DISTINCT * FROM {XY}) CROSS JOIN ({SIDES})))) GROUP BY l_orderkey, l_linenumber, x, y""", "distance along_path", 5)
 query("geo_shortest_paths", lambda s, d: G.shortest_paths(table(s, d, "nation").select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").cast("int").alias("r")).withColumn("b", F.pmod(F.col("a") * 2 + 1, F.lit(25)).cast("int")).select("a", "b", (F.col("r") + 1.0).alias("length")), s.range(1).select(F.lit(0).alias("node"))).select("node", "distance"), """SELECT node, min(distance) AS distance FROM (WITH RECURSIVE l AS (SELECT n_nationkey AS a, CAST((n_nationkey * 2 + 1) % 25 AS INT) AS b, n_regionkey + 1.0::DOUBLE AS length FROM nation), g AS (SELECT * FROM l UNION ALL SELECT b, a, length FROM l),
 p(node, distance, hops) AS (SELECT 0, 0.0::DOUBLE, 0 UNION ALL SELECT * FROM (SELECT g.b, min(p.distance + g.length), any_value(p.hops) + 1 FROM p JOIN g ON p.node = g.a WHERE p.hops < 24 GROUP BY g.b)) SELECT * FROM p) GROUP BY node""", "distance")
 

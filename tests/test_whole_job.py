@@ -83,3 +83,26 @@ def test_shortest_paths_of_many_links(spark):
     assert got == {i: (float(i), i - 1 if i else None) for i in range(55)}
     with pytest.raises(ValueError):
         G.shortest_paths(spark.createDataFrame([(0, 1, -1.0)], "a long, b long, length double"), spark.createDataFrame([(0,)], "node long"))
+
+
+def test_all_points_and_angles(spark, folder, tmp_path):
+    """Discounts of 0.05 and angles from 5 rad on count too."""
+    from pulsegrid.queries_reference import PATH, TAU
+
+    rows = [(i, 1, "N", float(1 + i % 50), round(i // 50 % 11 * 0.01, 2), 1.0) for i in range(550)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double, l_discount double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_orderkey: (r.distance, r.along_path) for r in entry.queries()["geo_point_to_polyline_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == 550
+    for i, _, _, x, y, _ in rows:
+        before, options = 0.0, []
+        for edge, ((x0, y0), (x1, y1)) in enumerate(zip(PATH, PATH[1:])):
+            n = math.hypot(x1 - x0, y1 - y0)
+            b = min(1.0, max(0.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / n**2))
+            options.append((math.hypot(x - x0 - b * (x1 - x0), y - y0 - b * (y1 - y0)), edge, b * n + before))
+            before += n
+        assert math.isclose(got[i][0], min(options)[0], abs_tol=2e-5) and math.isclose(got[i][1], min(options)[2], abs_tol=2e-5)
+    d, e = folder
+    theta = (e.ts - e.ts.dt.normalize()).dt.total_seconds() * TAU / 86400
+    for r in entry.queries()["circ_interval_all"](spark, d).collect():
+        own = sorted(theta[e.k == r.k])
+        assert math.isclose(r.interval, TAU - max(z - a for a, z in zip(own, [*own[1:], own[0] + TAU])), abs_tol=2e-6)
