@@ -225,6 +225,7 @@ FORMULAS = {"none": N, "coef": f"{N} / nv", "rate": f"{N} / (nv * 100)", "produc
 for norm, formula in FORMULAS.items():
     query(f"peth_{norm.replace(' ', '_')}", lambda s, d, norm=norm: E.peri_event_histogram(X(s, d), R(s, d), KEY, -600.0, 600.0, 12, norm), PETH.format(formula), "value", 4 if norm == "zscore" else 9)
 query("ev_density", lambda s, d: E.density(ev(s, d), KEY, 0.0, 86400.0 * 10, 101, 7200.0), f"SELECT k, i, coalesce(sum(exp(-0.5 * pow((8640.0 * i - t) / 7200, 2))) FILTER (abs(8640.0 * i - t) <= 8 * 7200), 0) / (count(*) * 7200 * {math.sqrt(TAU)!r}) AS density FROM ev, (SELECT CAST(b AS INT) AS i FROM range(101) t(b)) GROUP BY ALL", "density", 12)
+query("ev_density_all", lambda s, d: E.density(ev(s, d), KEY, 0.0, 86400.0 * 30, 301, 7200.0), f"SELECT k, i, coalesce(sum(exp(-0.5 * pow((8640.0 * i - t) / 7200, 2))) FILTER (abs(8640.0 * i - t) <= 8 * 7200), 0) / (count(*) * 7200 * {math.sqrt(TAU)!r}) AS density FROM ev, (SELECT CAST(b AS INT) AS i FROM range(301) t(b)) GROUP BY ALL", "density", 12)
 query("ev_peri_density", lambda s, d: E.peri_event_density(X(s, d), R(s, d), KEY, -600.0, 600.0, 25, 60.0), f"SELECT k, i, sum(exp(-0.5 * pow((50.0 * i - 600 - lag) / 60, 2))) / (any_value(nt) * 60 * {math.sqrt(TAU)!r}) AS rate FROM (SELECT r.k, x.t - r.t AS lag, count(*) OVER () FROM r JOIN x ON x.k = r.k AND x.t - r.t BETWEEN -600 AND 600) JOIN (SELECT k, count(*) AS nt FROM r GROUP BY k) USING (k), (SELECT CAST(b AS INT) AS i FROM range(25) t(b)) GROUP BY ALL", "rate", 9)
 EPOCHS = "(SELECT k, 86400.0 * n AS start, 86400.0 * n + 60000 AS stop FROM (SELECT DISTINCT k FROM ev), range(30) t(n))"
 

@@ -106,3 +106,11 @@ def test_all_points_and_angles(spark, folder, tmp_path):
     for r in entry.queries()["circ_interval_all"](spark, d).collect():
         own = sorted(theta[e.k == r.k])
         assert math.isclose(r.interval, TAU - max(z - a for a, z in zip(own, [*own[1:], own[0] + TAU])), abs_tol=2e-6)
+
+
+def test_density_over_all_days(spark, folder):
+    """Every event adds to the grid: the density sums up to 1, but for the tails beyond its ends."""
+    total: dict = {}
+    for r in entry.queries()["ev_density_all"](spark, folder[0]).collect():
+        total[r.k] = total.get(r.k, 0) + r.density * 8640
+    assert set(total) == {"a", "b"} and all(0.99 < x < 1.01 for x in total.values())
