@@ -101,6 +101,49 @@ def test_garble(spark):
     assert out[9000].restored is None and out[9001].restored == ""
 
 
+def test_free_ciphers(spark):
+    """Swaps of code pages that no list names are learned, found and restored: cp1250 read as cp852, cp1251 read as koi8-r."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("source = 'stenogram' and lower(substr(lang, 1, 2)) in ('cs', 'bg') and text is not null").collect()
+    swaps, rng, rows, garbled = {"cs": ("cp1250", "cp852"), "bg": ("cp1251", "koi8-r")}, np.random.default_rng(5), [], {}
+    for r in docs:
+        right, wrong = swaps[r.lang.lower()[:2]]
+        t = r.text
+        if rng.random() < 0.15 and "Ã" not in t and "Ð" not in t:
+            try:
+                t = t.encode(right).decode(wrong)
+            except UnicodeError:
+                t = r.text
+        if sum(a != b for a, b in zip(t, r.text)) > 4:
+            garbled[r.doc_id] = r.text
+        rows.append((r.doc_id, t, r.source, r.lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    model = garble.fit(df)
+    own = model.tables["stenogram", "cs", garble.FREE]
+    assert {own[x.encode("cp1250").decode("cp852")] for x in "ěščřž"} == set("ěščřž")
+    out = {r.doc_id: r for r in garble.examine(df, model).filter("found").collect()}
+    assert len(garbled) > 50 and len(garbled.keys() & out.keys()) >= 0.9 * len(garbled)
+    assert sum(out[i].restored == t for i, t in garbled.items() if i in out) >= 0.9 * len(garbled)
+
+
+def test_letters_move(spark):
+    """A symbol that the text contradicts leaves its code page's letter: here the page's letters for two symbols are exchanged."""
+    rng, rows, garbled = np.random.default_rng(6), [], {}
+    table = garble._single_table("mac_roman", "cp1252")
+    wrong = {letter: symbol for symbol, letter in table.items()}
+    wrong["ü"], wrong["ö"] = wrong["ö"], wrong["ü"]
+    for i in range(1500):
+        s = " ".join(rng.choice(SENTENCES[:5], 3))
+        rows.append((i, "".join(wrong.get(c, c) for c in s) if i % 8 == 0 else s, "src", "de"))
+        if i % 8 == 0:
+            garbled[i] = s
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    model = garble.fit(df)
+    learned = model.table("src", "de", garble.FREE)
+    assert learned[wrong["ü"]] == "ü" and learned[wrong["ö"]] == "ö" and table[wrong["ü"]] == "ö"
+    out = {r.doc_id: r for r in garble.examine(df, model).filter("found").collect()}
+    assert set(out) == set(garbled) and sum(out[i].restored == t for i, t in garbled.items()) >= 0.9 * len(garbled)
+
+
 def test_nothing_else_imports_this():
     import pathlib
 
