@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.plans.ordered import bucketed_rank, scan
+
 TWO_PI = 2 * math.pi
+#: Bucket of angles in scans; angles are spread over the circle, so a key is cut into this many parts.
+ARC = TWO_PI / 4096
 
 
 def wrap(x: Column, low: float = 0.0, high: float = TWO_PI) -> Column:
@@ -53,9 +57,8 @@ def moments(df: DataFrame, keys: Sequence[str], theta: str = "theta", weight: Co
 
 
 def kuiper(df: DataFrame, keys: Sequence[str], theta: str = "theta") -> DataFrame:
-    w = Window.partitionBy(*keys)
     d = df.filter(F.col(theta).isNotNull()).withColumn("_x", wrap(F.col(theta)))
-    d = d.withColumns({"_n": F.count(F.lit(1)).over(w), "_i": F.row_number().over(w.orderBy("_x")) - 1})
+    d = scan(d, keys, ["_x"], ARC, _n=("count", None), _i=("rank", None))
     u = F.col("_x") / TWO_PI - F.col("_i") / F.col("_n")
     v = (F.max(u) - F.min(u) + 1 / F.col("_n")) * (F.sqrt("_n") + 0.155 + 0.24 / F.sqrt("_n"))
     return d.groupBy(*keys, "_n").agg(v.alias("v")).select(*keys, "v", ((8 * F.col("v") * F.col("v") - 2) * F.exp(-2 * F.col("v") * F.col("v"))).alias("p"))
@@ -63,18 +66,25 @@ def kuiper(df: DataFrame, keys: Sequence[str], theta: str = "theta") -> DataFram
 
 def rank(df: DataFrame, keys: Sequence[str], theta: str = "theta") -> DataFrame:
     """Add ``rank``: 2 pi times the average rank over n."""
-    w = Window.partitionBy(*keys)
     d = df.withColumn("_x", wrap(F.col(theta)))
-    ties = F.count("_x").over(Window.partitionBy(*keys, "_x"))
-    r = F.rank().over(w.orderBy(F.col("_x").asc_nulls_last())) + (ties - 1) / 2
-    return d.withColumn("rank", F.when(F.col("_x").isNotNull(), TWO_PI * r / F.count("_x").over(w))).drop("_x")
+    sizes = d.filter("_x is not null").groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))  # equal angles count once each
+    r = scan(sizes, keys, ["_x"], ARC, _upto=("sum", "_c"))
+    total = sizes.groupBy(*keys).agg(F.sum("_c").alias("_n")).withColumnsRenamed({k: f"_t_{k}" for k in keys})
+    by = [*keys, "_x"]
+    r = r.select(*[F.col(c).alias(f"_r_{c}") for c in by], (F.col("_upto") - F.col("_c") + 1 + (F.col("_c") - 1) / 2).alias("_r"))
+    on, same = F.lit(True), F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    d = d.join(r, on, "left").join(total, same, "left")
+    return d.select(*df.columns, (TWO_PI * F.col("_r") / F.col("_n")).alias("rank"))
 
 
 def interval(df: DataFrame, keys: Sequence[str], theta: str = "theta") -> DataFrame:
     """The shortest arc that holds all angles: 2 pi minus the largest gap."""
-    w = Window.partitionBy(*keys)
-    d = df.filter(F.col(theta).isNotNull()).withColumn("_x", wrap(F.col(theta)))
-    gap = F.coalesce(F.lead("_x").over(w.orderBy("_x")), F.min("_x").over(w) + TWO_PI) - F.col("_x")
+    d = scan(df.filter(F.col(theta).isNotNull()).select(*keys, wrap(F.col(theta)).alias("_x")), keys, ["_x"], ARC, _n=("lead", "_x"), _first=("min", "_x"))
+    gap = F.coalesce("_n", F.col("_first") + TWO_PI) - F.col("_x")
     return d.withColumn("_g", gap).groupBy(*keys).agg((TWO_PI - F.max("_g")).alias("interval"))
 
 
@@ -99,13 +109,11 @@ def median(df: DataFrame, keys: Sequence[str], theta: str = "theta") -> DataFram
     d = d.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
     turns = d.select(*keys, "_x", F.col("_c").alias("_w"), F.lit(1).alias("_probe")).unionByName(d.select(*keys, (F.col("_x") + math.pi).alias("_x"), F.lit(0).alias("_w"), F.lit(2).alias("_probe")))
     turns = turns.unionByName(d.select(*keys, (F.col("_x") + TWO_PI).alias("_x"), F.col("_c").alias("_w"), F.lit(0).alias("_probe")))
-    run = Window.partitionBy(*keys).orderBy("_x")
-    p = turns.withColumns({"_n": F.sum("_w").over(run), "_s": F.sum(F.col("_w") * F.col("_x")).over(run)})
+    p = scan(turns, keys, ["_x"], ARC, _n=("sum", "_w"), _s=("sum", F.col("_w") * F.col("_x")))
     a = p.filter("_probe = 1").select(*keys, F.col("_x").alias("_a"), F.col("_n").alias("_na"), F.col("_s").alias("_sa"))
     z = p.filter("_probe = 2").select(*keys, (F.col("_x") - math.pi).alias("_y"), F.col("_n").alias("_nz"), F.col("_s").alias("_sz"))
     total = d.groupBy(*keys).agg(F.sum("_c").alias("_N"), F.sum(F.col("_c") * F.col("_x")).alias("_S"))
-    ka = Window.partitionBy(*keys)
-    a, z = a.withColumn("_i", F.row_number().over(ka.orderBy("_a"))), z.withColumn("_i", F.row_number().over(ka.orderBy("_y")))
+    a, z = bucketed_rank(a, keys, ["_a"], ARC, "_i"), bucketed_rank(z, keys, ["_y"], ARC, "_i")
     j = a.join(z, [*keys, "_i"]).join(total, list(keys))
     ahead = (F.col("_sz") - F.col("_sa")) - (F.col("_nz") - F.col("_na")) * F.col("_a")  # angles in (a, a + pi]
     behind_n = F.col("_N") - (F.col("_nz") - F.col("_na"))

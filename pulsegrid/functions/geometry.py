@@ -8,9 +8,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.plans.ordered import POSITIONS, scan
+
 
 def cart2pol(x: Column, y: Column) -> tuple[Column, Column]:
     return F.atan2(y, x).alias("theta"), F.hypot(x, y).alias("rho")
@@ -73,16 +75,21 @@ def in_polygon(x: Column, y: Column, nodes: Sequence[Sequence[float]]) -> Column
     return winding != 0
 
 
-def polygon_area(df: DataFrame, keys: Sequence[str], order: str, x: str = "x", y: str = "y") -> DataFrame:
-    """Signed area of each polygon (closed by itself); 0 for fewer than three nodes."""
-    w, full = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = df.withColumns({"_x": F.coalesce(F.lead(x).over(w), F.first(x).over(full)), "_y": F.coalesce(F.lead(y).over(w), F.first(y).over(full))})
-    return d.groupBy(*keys).agg(F.when(F.count(F.lit(1)) < 3, 0.0).otherwise(F.sum(F.col(x) * F.col("_y") - F.col("_x") * F.col(y)) / 2).alias("area"))
+def polygon_area(df: DataFrame, keys: Sequence[str], order: str, x: str = "x", y: str = "y", bucket: float = POSITIONS) -> DataFrame:
+    """Signed area of the polygon whose vertices are the rows in their order (the last joins the first); 0 for fewer than three."""
+    point = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    d = scan(df, keys, [order], bucket, _n=("lead", point))
+    ends = F.struct(F.min_by(point, order).alias("a"), F.max_by(point, order).alias("z"))
+    cross = F.sum(F.col(x) * F.col("_n.y") - F.col("_n.x") * F.col(y))
+    d = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"), cross.alias("_s"), ends.alias("_e"))
+    close = F.col("_e.z.x") * F.col("_e.a.y") - F.col("_e.a.x") * F.col("_e.z.y")
+    return d.select(*keys, F.when(F.col("_c") < 3, 0.0).otherwise((F.col("_s") + close) / 2).alias("area"))
 
 
-def path_length(df: DataFrame, keys: Sequence[str], order: str, x: str = "x", y: str = "y") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_d", F.hypot(F.lead(x).over(w) - F.col(x), F.lead(y).over(w) - F.col(y))).groupBy(*keys).agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("length"))
+def path_length(df: DataFrame, keys: Sequence[str], order: str, x: str = "x", y: str = "y", bucket: float = POSITIONS) -> DataFrame:
+    """Length of the open path through the rows in their order."""
+    d = scan(df, keys, [order], bucket, _n=("lead", F.struct(F.col(x).alias("x"), F.col(y).alias("y"))))
+    return d.withColumn("_d", F.hypot(F.col("_n.x") - F.col(x), F.col("_n.y") - F.col(y))).groupBy(*keys).agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("length"))
 
 
 def point_to_polyline(x: Column, y: Column, nodes: Sequence[Sequence[float]], closed: bool = False) -> Column:

@@ -128,21 +128,37 @@ def in_range(x: Column, low: float | None = None, high: float | None = None, clo
     return above | below if low is not None and high is not None and low > high else above & below
 
 
-def natural_key(text: Column, width: int = 20) -> Column:
-    """A sort key in which runs of digits compare as numbers."""
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1), lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, width, "0")).otherwise(x)), "")
+def natural_key(text: Column) -> Column:
+    """A sort key in which runs of digits compare as numbers: leading zeros go, and the count of digits (as one character) goes first."""
+    digits = lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")
+    number = lambda d: F.concat(F.lpad(F.length(d).cast("string"), 10, "0"), F.lit(":"), d)
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1), lambda x: F.when(x.rlike(r"^\d"), number(digits(x))).otherwise(x)), "")
 
 
-def bootstrap_ci(df: DataFrame, keys: Sequence[str], x: str, nsamples: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Percentile interval of the mean by the Poisson bootstrap: each row gets an independent weight per resample, so the data are
-    read once and nothing is joined. Weights come from a hash of row and resample: the same seed gives the same result."""
+def bootstrap_statistic(df: DataFrame, keys: Sequence[str], statistic: dict[str, Column] | Column, x: str, nsamples: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """Percentile interval of any weighted statistic of ``x`` by the Poisson bootstrap.
+
+    Equal values of a key are one row with a count n first; resample b gives it a weight from Poisson(n), drawn by the seed, so the
+    data are read once, nothing is joined, and repeated rows are independent. ``statistic`` is an aggregate of the columns ``x`` and
+    ``w`` (its weight); by default callers use the weighted mean.
+    """
+    counted = df.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("x")).agg(F.count(F.lit(1)).alias("_n"))
+    reps = counted.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(nsamples))))
+    draw = lambda i: (F.pmod(F.xxhash64(F.lit(seed), "b", F.struct(*keys, "x"), i), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     cuts, p, c = [], math.exp(-1), 0.0
-    for k in range(9):
+    for k in range(12):
         c += p
         cuts.append(c)
         p /= k + 1
-    rows = df.withColumn("_row", F.xxhash64(*df.columns))
-    reps = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(nsamples)))).withColumn("_u", (F.pmod(F.xxhash64(F.lit(seed), "b", "_row"), F.lit(1 << 30)) + 0.5) / float(1 << 30))
-    weight = sum((F.when(F.col("_u") > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
-    means = reps.groupBy(*keys, "b").agg((F.sum(weight * F.col(x)) / F.sum(F.when(F.col(x).isNotNull(), weight))).alias("_m"))
-    return means.groupBy(*keys).agg(F.percentile("_m", alpha / 2).alias("lo"), F.percentile("_m", 1 - alpha / 2).alias("hi"))
+    one = lambda u: sum((F.when(u > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    few = F.aggregate(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(32)).cast("int")), F.lit(0), lambda s, i: s + one(draw(i)))
+    normal = F.sqrt(-2 * F.ln(draw(F.lit(1)))) * F.cos(2 * math.pi * draw(F.lit(2)))  # Poisson(n) of a large n
+    many = F.greatest(F.lit(0), F.round(F.col("_n") + F.sqrt("_n") * normal)).cast("int")
+    reps = reps.withColumn("w", F.when(F.col("_n") <= 32, few).otherwise(many)).filter("w > 0")
+    values = reps.groupBy(*keys, "b").agg(statistic.alias("_m"))
+    return values.groupBy(*keys).agg(F.percentile("_m", alpha / 2).alias("lo"), F.percentile("_m", 1 - alpha / 2).alias("hi"))
+
+
+def bootstrap_ci(df: DataFrame, keys: Sequence[str], x: str, nsamples: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """Percentile interval of the mean; see ``bootstrap_statistic``."""
+    return bootstrap_statistic(df, keys, F.sum(F.col("w") * F.col("x")) / F.sum("w"), x, nsamples, alpha, seed)

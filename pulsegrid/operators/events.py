@@ -1,6 +1,7 @@
 """Event (point process) operators on DataFrames with the columns keys..., t (seconds).
 
-Windows order by time (and a tie-breaker where one is given); cross-series operators use the bucketed joins of ``plans.joins``.
+What depends on order runs as a bucketed scan by time (and a tie-breaker where one is given), so a hot key is spread;
+cross-series operators use the bucketed joins of ``plans.joins``. ``bucket`` is the span of a bucket, in the unit of t.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import segments as S
 from pulsegrid.plans.joins import asof_join, band_join, range_join
+from pulsegrid.plans.ordered import SECONDS, bucket_of, scan
 
 
 def split_labels(df: DataFrame, label: str) -> DataFrame:
@@ -47,10 +49,17 @@ def regular_bins(events: DataFrame, keys: Sequence[str], origin: float, width: f
     return events.groupBy(*keys, F.floor((F.col("t") - origin) / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def intervals(events: DataFrame, keys: Sequence[str], order: Sequence[str] = ("t",)) -> DataFrame:
-    """Signed time to the previous (``pre``, negative) and next (``post``) event of the series, and the smaller and larger of both (null unless both exist)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return _extremes(events.withColumns({"pre": F.lag("t").over(w) - F.col("t"), "post": F.lead("t").over(w) - F.col("t")}))
+def intervals(events: DataFrame, keys: Sequence[str], order: Sequence[str] = ("t",), segs: DataFrame | None = None, width: float = 1.0, bucket: float = SECONDS) -> DataFrame:
+    """Signed time to the previous (``pre``, negative) and next (``post``) event of the series, and the smaller and larger of both (null unless both exist).
+
+    With ``segs`` only events inside the merged segments take part, and only neighbours in the same one count.
+    """
+    if segs is not None:
+        m = S.merge(segs, keys, bucket=bucket)
+        events = range_join(events, m, keys, width).withColumnRenamed("start", "_seg").drop("stop")
+        return intervals(events, [*keys, "_seg"], order, bucket=bucket).drop("_seg")
+    d = scan(events, keys, list(order), bucket, _p=("lag", "t"), _n=("lead", "t"))
+    return _extremes(d.withColumns({"pre": F.col("_p") - F.col("t"), "post": F.col("_n") - F.col("t")}).drop("_p", "_n"))
 
 
 def _extremes(d: DataFrame) -> DataFrame:
@@ -66,31 +75,31 @@ def cross_intervals(events: DataFrame, other: DataFrame, keys: Sequence[str]) ->
     return _extremes(f.withColumns({"pre": F.col("_b_t") - F.col("t"), "post": F.col("_f_t") - F.col("t")}).drop("_b_t", "_f_t"))
 
 
-def filter_intervals(events: DataFrame, keys: Sequence[str], minimum: float = 0.003, order: Sequence[str] = ("t",)) -> DataFrame:
+def filter_intervals(events: DataFrame, keys: Sequence[str], minimum: float = 0.003, order: Sequence[str] = ("t",), bucket: float = SECONDS) -> DataFrame:
     """Without the events that follow their (original) predecessor too soon."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return events.withColumn("_p", F.col("t") - F.lag("t").over(w)).filter(F.col("_p").isNull() | (F.col("_p") >= minimum)).drop("_p")
+    return scan(events, keys, list(order), bucket, _p=("lag", "t")).filter(F.col("_p").isNull() | (F.col("t") - F.col("_p") >= minimum)).drop("_p")
 
 
-def bursts(events: DataFrame, keys: Sequence[str], lo: float = 0.003, hi: float = 0.015, mark: str | None = None, nevents: tuple[int, int] | None = None, order: Sequence[str] = ("t",)) -> DataFrame:
+def bursts(events: DataFrame, keys: Sequence[str], lo: float = 0.003, hi: float = 0.015, mark: str | None = None, nevents: tuple[int, int] | None = None, order: Sequence[str] = ("t",), bucket: float = SECONDS) -> DataFrame:
     """Add ``burst``: 0 none, 1 first, 2 middle, 3 last event of a burst (successive intervals in [lo, hi], marks not increasing)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    near = (F.col("t") - F.lag("t").over(w)).between(lo, hi)
-    if mark:
-        near = near & (F.col(mark) <= F.lag(mark).over(w))
-    d = events.withColumn("_in", F.coalesce(near, F.lit(False))).withColumn("_out", F.coalesce(F.lead("_in").over(w), F.lit(False)))
-    code = F.when(~F.col("_in") & F.col("_out"), 1).when(F.col("_in") & F.col("_out"), 2).when(F.col("_in"), 3).otherwise(0)
-    d = d.withColumn("burst", code).drop("_in", "_out")
-    return burst_length(d, keys, nevents, order) if nevents else d
+    v = F.col(mark) if mark else F.lit(0)
+    here = F.struct(F.col("t").alias("t"), v.alias("v"))
+    d = scan(events, keys, list(order), bucket, _p=("lag", here), _n=("lead", here))
+    was = F.coalesce((F.col("t") - F.col("_p.t")).between(lo, hi) & (v <= F.col("_p.v")), F.lit(False))
+    goes = F.coalesce((F.col("_n.t") - F.col("t")).between(lo, hi) & (F.col("_n.v") <= v), F.lit(False))
+    d = d.withColumn("burst", F.when(~was & goes, 1).when(was & goes, 2).when(was, 3).otherwise(0)).drop("_p", "_n")
+    return burst_length(d, keys, nevents, order, bucket) if nevents else d
 
 
-def burst_length(d: DataFrame, keys: Sequence[str], nevents: tuple[int, int] | int = 2, order: Sequence[str] = ("t",)) -> DataFrame:
+def burst_length(d: DataFrame, keys: Sequence[str], nevents: tuple[int, int] | int = 2, order: Sequence[str] = ("t",), bucket: float = SECONDS) -> DataFrame:
     """Set ``burst`` to 0 for bursts with fewer or more events than the pair, or, for one number n, with at least n."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    d = d.withColumn("_b", F.sum(F.when(F.col("burst") == 1, 1).otherwise(0)).over(w))
-    size = F.sum(F.when(F.col("burst") > 0, 1).otherwise(0)).over(Window.partitionBy(*keys, "_b"))
+    d = scan(d, keys, list(order), bucket, _b=("sum", F.when(F.col("burst") == 1, 1).otherwise(0)))
+    # events of one burst meet; events of none stay apart, by bucket
+    group = F.when(F.col("burst") > 0, F.struct(F.col("_b").alias("b"), F.lit(0).cast("long").alias("o"))).otherwise(F.struct(F.lit(-1).cast("long").alias("b"), bucket_of(F.col(order[0]), bucket).alias("o")))
+    d = d.withColumn("_g", group)
+    size = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_g"))
     keep = size.between(*nevents) if isinstance(nevents, tuple) else size < nevents
-    return d.withColumn("_s", keep).withColumn("burst", F.when((F.col("burst") > 0) & F.col("_s"), F.col("burst")).otherwise(0)).drop("_b", "_s")
+    return d.withColumn("_s", keep).withColumn("burst", F.when((F.col("burst") > 0) & F.col("_s"), F.col("burst")).otherwise(0)).drop("_b", "_s", "_g")
 
 
 BURST_FILTERS = {"none": "true", "reduce": "burst <= 1", "remove": "burst = 0", "isolate": "burst <> 0", "isolatereduce": "burst = 1"}
@@ -100,18 +109,20 @@ def filter_bursts(d: DataFrame, method: str = "none") -> DataFrame:
     return d.filter(BURST_FILTERS[method])
 
 
-def count_until(events: DataFrame, probes: DataFrame, keys: Sequence[str], id: str) -> DataFrame:
+def count_until(events: DataFrame, probes: DataFrame, keys: Sequence[str], id: str, bucket: float = SECONDS) -> DataFrame:
     """Per probe the number of events at or before it."""
-    e = events.select(*keys, "t", F.lit(1).alias("_d"), F.lit(None).cast(probes.schema[id].dataType).alias("_id"))
+    e = events.filter("t is not null").select(*keys, "t", F.lit(1).alias("_d"), F.lit(None).cast(probes.schema[id].dataType).alias("_id"))
     p = probes.select(*keys, "t", F.lit(0).alias("_d"), F.col(id).alias("_id"))
-    w = Window.partitionBy(*keys).orderBy("t")
-    return e.unionByName(p).withColumn("n", F.sum("_d").over(w)).filter("_d = 0").select(*keys, F.col("_id").alias(id), "n")
+    both = e.unionByName(p).withColumn("_after", 1 - F.col("_d"))
+    return scan(both, keys, ["t", "_after"], bucket, n=("sum", "_d")).filter("_d = 0").select(*keys, F.col("_id").alias(id), "n")
 
 
-def complex_spike_index(events: DataFrame, keys: Sequence[str], mark: str, lo: float, hi: float) -> DataFrame:
-    """100 x (nearest intervals up to hi whose amplitude falls over time, minus those where it rises or that are shorter than lo), floor-divided by the events."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    d = events.withColumns({"_pre": F.lag("t").over(w) - F.col("t"), "_post": F.lead("t").over(w) - F.col("t"), "_ap": F.lag(mark).over(w) - F.col(mark), "_an": F.lead(mark).over(w) - F.col(mark)})
+def complex_spike_index(events: DataFrame, keys: Sequence[str], mark: str | None, lo: float, hi: float, bucket: float = SECONDS) -> DataFrame:
+    """100 x (nearest intervals up to hi whose amplitude falls over time, minus those where it rises or that are shorter than lo), floor-divided by the events. Without a mark amplitudes are equal."""
+    v = F.col(mark) if mark else F.lit(0.0)
+    here = F.struct(F.col("t").alias("t"), v.alias("v"))
+    d = scan(events, keys, ["t"], bucket, _p=("lag", here), _n=("lead", here))
+    d = d.withColumns({"_pre": F.col("_p.t") - F.col("t"), "_post": F.col("_n.t") - F.col("t"), "_ap": F.col("_p.v") - v, "_an": F.col("_n.v") - v})
     near = F.col("_post") <= F.abs("_pre")
     dt, da = F.when(near, F.col("_post")).otherwise(F.col("_pre")), F.when(near, F.col("_an")).otherwise(F.col("_ap"))
     burst = ((dt < 0) & (da >= 0)) | ((dt > 0) & (da < 0))
@@ -224,12 +235,15 @@ def tiling_coefficient(a: DataFrame, b: DataFrame, epochs: DataFrame, keys: Sequ
     return d.select(*keys, (0.5 * (one(F.col("pa"), fb) + one(F.col("pb"), fa))).alias("sttc"))
 
 
-def shift(events: DataFrame, segs: DataFrame, keys: Sequence[str], by: float, width: float, circular: bool = True) -> DataFrame:
+def shift(events: DataFrame, segs: DataFrame, keys: Sequence[str], by: float, width: float, circular: bool = True, bucket: float = SECONDS) -> DataFrame:
     """Shift events within the joined segments (gaps removed, then put back); ``circular`` wraps, else leavers are dropped."""
-    m = S.merge(segs, keys)
-    w = Window.partitionBy(*keys).orderBy("start")
-    m = m.withColumn("_d", F.col("stop") - F.col("start")).withColumn("_hi", F.sum("_d").over(w)).withColumn("_lo", F.col("_hi") - F.col("_d"))
-    m = m.withColumn("_all", F.sum("_d").over(Window.partitionBy(*keys)))
+    m = S.merge(segs, keys, bucket=bucket).withColumn("_d", F.col("stop") - F.col("start"))
+    m = scan(m, keys, ["start"], bucket, _hi=("sum", "_d")).withColumn("_lo", F.col("_hi") - F.col("_d"))
+    total = m.groupBy(*keys).agg(F.sum("_d").alias("_all")).withColumnsRenamed({k: f"_t_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    m = m.join(total, on).drop(*[f"_t_{k}" for k in keys])
     flat = range_join(events, m, keys, width).withColumn("_u", F.col("t") - F.col("start") + F.col("_lo") + by)
     flat = flat.withColumn("_u", F.col("_u") - F.floor(F.col("_u") / F.col("_all")) * F.col("_all")) if circular else flat.filter("_u >= 0 and _u < _all")
     flat = flat.select(*events.columns, "_u")

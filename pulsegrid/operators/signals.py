@@ -1,4 +1,7 @@
-"""Operators on sampled signals in long form: keys..., i (sample number), t, y. Everything here stays in SQL expressions."""
+"""Operators on sampled signals in long form: keys..., i (sample number, without gaps), t, y. Everything here stays in SQL expressions.
+
+What depends on order runs as a bucketed scan, and windows of neighbours over chunks of positions with a halo, so a long signal is spread.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import segments as S
 from pulsegrid.plans.joins import asof_join, band_join, range_join
+from pulsegrid.plans.ordered import POSITIONS, SECONDS, near, scan
 
 NORMAL_MAD = 0.6744897501960817
 
@@ -31,34 +35,51 @@ def threshold(df: DataFrame, keys: Sequence[str], kind: str, value: float = 1.0,
     raise ValueError(kind)
 
 
-def mountains(df: DataFrame, keys: Sequence[str], low: float, high: float, gap: float = 0.0, minimum: float = 0.0) -> DataFrame:
-    """Runs of y > low that exceed high before their last sample, joined over gaps and kept from a minimum duration on."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    d = df.withColumns({"_n": F.row_number().over(w)}).filter(F.col("y") > low)
-    d = d.withColumn("_g", F.col("_n") - F.row_number().over(w))
-    d = d.withColumn("_last", F.max("t").over(Window.partitionBy(*keys, "_g")))
-    runs = d.groupBy(*keys, "_g").agg(F.min("t").alias("start"), F.max("t").alias("stop"), F.max(F.when(F.col("t") < F.col("_last"), F.col("y"))).alias("_top")).filter(F.col("_top") > high)
-    return S.merge(runs, keys, gap=gap).filter(F.col("stop") - F.col("start") >= minimum)
-
-
-def extrema(df: DataFrame, keys: Sequence[str], kind: str = "extrema") -> DataFrame:
-    """Local extrema: sample number (the middle of a plateau) and amplitude. Plateaus are reduced to one row before comparing."""
-    w = Window.partitionBy(*keys).orderBy("i")
-    d = df.withColumn("_new", F.when(F.col("y") == F.lag("y").over(w), 0).otherwise(1)).withColumn("_g", F.sum("_new").over(w))
-    runs = d.groupBy(*keys, "_g").agg(F.min("i").alias("_a"), F.max("i").alias("_z"), F.first("y").alias("y"))
-    by = Window.partitionBy(*keys).orderBy("_g")
-    up, down = F.col("y") > F.lag("y").over(by), F.col("y") > F.lead("y").over(by)
+def mountains(df: DataFrame, keys: Sequence[str], low: float, high: float, gap: float = 0.0, minimum: float = 0.0, segs: DataFrame | None = None, width: float = 1.0, bucket: float = SECONDS) -> DataFrame:
+    """Runs of y > low that exceed high before their last sample, joined over gaps and kept from a minimum duration on.
+
+    With ``segs`` a mountain counts if it lies wholly within one merged segment.
+    """
+    d = scan(df.select(*keys, "t", (F.coalesce(F.col("y") > low, F.lit(False))).alias("_on"), "y"), keys, ["t"], bucket, _before=("lag", "_on"), _after=("lead", "_on")).filter("_on")
+    head, tail = ~F.coalesce("_before", F.lit(False)), ~F.coalesce("_after", F.lit(False))
+    d = scan(d.select(*keys, "t", "y", head.cast("int").alias("_head"), tail.alias("_tail")), keys, ["t"], bucket, _g=("sum", "_head"))
+    runs = d.groupBy(*keys, "_g").agg(F.min("t").alias("start"), F.max("t").alias("stop"), F.max(F.when(~F.col("_tail"), F.col("y"))).alias("_top")).filter(F.col("_top") > high)
+    out = S.merge(runs, keys, gap=gap, bucket=bucket).filter(F.col("stop") - F.col("start") >= minimum)
+    if segs is None:
+        return out
+    m = S.merge(segs, keys, bucket=bucket).withColumnsRenamed({"start": "_s0", "stop": "_s1"})
+    return range_join(out, m, keys, width, t="start", start="_s0", stop="_s1").filter(F.col("stop") <= F.col("_s1")).drop("_s0", "_s1")
+
+
+def extrema(df: DataFrame, keys: Sequence[str], kind: str = "extrema", low: float | None = None, high: float | None = None, bucket: float = POSITIONS) -> DataFrame:
+    """Local extrema: sample number (the middle of a plateau) and amplitude. Plateaus are reduced to one row before comparing.
+
+    ``low`` and ``high`` keep amplitudes in that closed range.
+    """
+    d = scan(df.select(*keys, "i", "y"), keys, ["i"], bucket, _p=("lag", "y"), _n=("lead", "y"))
+    head, tail = ~F.coalesce(F.col("_p") == F.col("y"), F.lit(False)), ~F.coalesce(F.col("_n") == F.col("y"), F.lit(False))
+    ends = d.filter(head | tail).select(*keys, "i", "y", "_p", head.alias("_head"), F.when(tail, F.struct("i", F.col("_n").alias("n"))).alias("_tail"))
+    runs = scan(ends, keys, ["i"], bucket, _end=("next", "_tail")).filter("_head")
+    up, down = F.col("y") > F.col("_p"), F.col("y") > F.col("_end.n")
     found = runs.withColumn("kind", F.when(up & down, "max").when(~up & ~down, "min")).filter("kind is not null")
-    found = found.select(*keys, ((F.col("_a") + F.col("_z")) / 2).alias("position"), F.col("y").alias("amplitude"), "kind")
+    found = found.select(*keys, ((F.col("i") + F.col("_end.i")) / 2).alias("position"), F.col("y").alias("amplitude"), "kind")
+    if low is not None or high is not None:
+        found = found.filter((F.col("amplitude") >= (low if low is not None else -math.inf)) & (F.col("amplitude") <= (high if high is not None else math.inf)))
     return found if kind == "extrema" else found.filter(F.col("kind") == kind)
 
 
-def zero_crossings(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def gradient_extrema(df: DataFrame, keys: Sequence[str], bucket: float = POSITIONS) -> DataFrame:
+    """Extrema where the central difference of y changes sign, at the interpolated sample number: position, kind."""
+    d = scan(df.select(*keys, "i", "y"), keys, ["i"], bucket, _p=("lag", "y"), _n=("lead", "y"))
+    slope = F.when(F.col("_p").isNull(), F.col("_n") - F.col("y")).when(F.col("_n").isNull(), F.col("y") - F.col("_p")).otherwise((F.col("_n") - F.col("_p")) / 2)
+    crossings = zero_crossings(d.select(*keys, "i", slope.alias("y")), keys, bucket)
+    return crossings.select(*keys, "position", F.when(F.col("direction") == "rising", "min").otherwise("max").alias("kind"))
+
+
+def zero_crossings(df: DataFrame, keys: Sequence[str], bucket: float = POSITIONS) -> DataFrame:
     """Interpolated sample number where y changes sign, and the direction; zeros in between: the middle of both neighbours."""
-    w = Window.partitionBy(*keys).orderBy("i")
-    d = df.filter("y <> 0").withColumns({"_pi": F.lag("i").over(w), "_py": F.lag("y").over(w)}).filter(F.signum("y") != F.signum("_py"))
-    step = F.col("i") - F.col("_pi")
-    at = F.when(step == 1, F.col("_pi") + F.col("_py") / (F.col("_py") - F.col("y"))).otherwise((F.col("i") + F.col("_pi")) / 2.0)
+    d = scan(df.filter("y <> 0"), keys, ["i"], bucket, _p=("lag", F.struct("i", "y"))).filter(F.signum("y") != F.signum("_p.y"))
+    at = F.when(F.col("i") - F.col("_p.i") == 1, F.col("_p.i") + F.col("_p.y") / (F.col("_p.y") - F.col("y"))).otherwise((F.col("i") + F.col("_p.i")) / 2.0)
     return d.select(*keys, at.alias("position"), F.when(F.col("y") > 0, "rising").otherwise("falling").alias("direction"))
 
 
@@ -69,21 +90,19 @@ def blank_artefacts(df: DataFrame, artefacts: DataFrame, keys: Sequence[str], be
     d = df.join(hit, [*keys, "i"], "left").withColumn("_y", F.when(F.col("_bad").isNull(), F.col("y")))
     if not linear:
         return d.withColumn("y", F.coalesce("_y", F.lit(fill).cast("double"))).drop("_y", "_bad")
-    w = Window.partitionBy(*keys).orderBy("t")
     known = F.when(F.col("_y").isNotNull(), F.struct(F.col("t").alias("t"), F.col("_y").alias("y")))
-    d = d.withColumns({"_a": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_z": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    d = scan(d, keys, ["t"], SECONDS, _a=("last", known), _z=("next", known))
     between = F.col("_a.y") + (F.col("_z.y") - F.col("_a.y")) * F.try_divide(F.col("t") - F.col("_a.t"), F.col("_z.t") - F.col("_a.t"))
     return d.withColumn("y", F.coalesce("_y", between, F.col("_a.y"), F.col("_z.y"))).drop("_y", "_bad", "_a", "_z")
 
 
 def windows(df: DataFrame, keys: Sequence[str], size: int, shift: int) -> DataFrame:
     """Samples in sliding windows: window number w starts at sample w x shift; incomplete windows are dropped. A sample meets its windows by arithmetic."""
-    n = F.max("i").over(Window.partitionBy(*keys)) + 1
     first = F.greatest(F.lit(0), F.ceil((F.col("i") - size + 1) / shift)).cast("long")
     last = F.least(F.floor(F.col("i") / shift), F.floor((F.col("_n") - size) / shift)).cast("long")
-    d = df.withColumn("_n", n).withColumns({"_a": first, "_z": last}).filter("_a <= _z")
+    d = scan(df, keys, ["i"], POSITIONS, _m=("max", "i")).withColumn("_n", F.col("_m") + 1).withColumns({"_a": first, "_z": last}).filter("_a <= _z")
     d = d.withColumn("w", F.explode(F.sequence("_a", "_z")))
-    return d.withColumn("j", F.col("i") - F.col("w") * shift).drop("_n", "_a", "_z")
+    return d.withColumn("j", F.col("i") - F.col("w") * shift).drop("_m", "_n", "_a", "_z")
 
 
 def trigger_windows(df: DataFrame, triggers: DataFrame, keys: Sequence[str], half: int, id: str) -> DataFrame:
@@ -111,14 +130,13 @@ def triggered_average(df: DataFrame, events: DataFrame, keys: Sequence[str], lo:
 
 def rolling_median(df: DataFrame, keys: Sequence[str], half: int, subtract: bool = False) -> DataFrame:
     """Centred rolling median (shorter at the ends), or the signal minus it."""
-    w = Window.partitionBy(*keys).orderBy("i").rowsBetween(-half, half)
-    m = F.percentile("y", 0.5).over(w)
-    return df.withColumn("m", F.col("y") - m if subtract else m)
+    d = near(df, keys, "i", half, half, _m=lambda w: F.percentile("y", 0.5).over(w.rowsBetween(-half, half)))
+    return d.withColumn("m", F.col("y") - F.col("_m") if subtract else F.col("_m")).drop("_m")
 
 
 def sliding_rms(df: DataFrame, keys: Sequence[str], half: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("i").rowsBetween(-half, half)
-    return df.withColumn("rms", F.sqrt(F.avg(F.col("y") * F.col("y")).over(w)))
+    """Root of the mean square over the nearest 2 half + 1 samples (fewer at the ends)."""
+    return near(df, keys, "i", half, half, rms=lambda w: F.sqrt(F.avg(F.col("y") * F.col("y")).over(w.rowsBetween(-half, half))))
 
 
 def kernel_weights(kernel: str, bandwidth: float, delta: float = 1.0) -> list[float]:
@@ -136,13 +154,16 @@ def smooth(df: DataFrame, keys: Sequence[str], kernel: str, bandwidth: float, de
     """Kernel smoothing along i, unbiased at ends and gaps: weighted mean of what is there; a null sample stays null."""
     weights = kernel_weights(kernel, bandwidth, delta)
     half = len(weights) // 2
-    w = Window.partitionBy(*keys).orderBy("i")
-    num, den = F.lit(0.0), F.lit(0.0)
-    for k, x in zip(range(-half, half + 1), weights):
-        if x:
-            y = F.lead("y", k).over(w) if k > 0 else F.lag("y", -k).over(w) if k < 0 else F.col("y")
-            num, den = num + x * F.coalesce(y, F.lit(0.0)), den + F.when(y.isNotNull(), F.lit(x)).otherwise(0.0)
-    return df.withColumns({"_num": num, "_den": den}).withColumn("smooth", F.when(F.col("y").isNotNull(), F.col("_num") / F.col("_den"))).drop("_num", "_den")
+
+    def sums(w: Window) -> Column:
+        num, den = F.lit(0.0), F.lit(0.0)
+        for k, x in zip(range(-half, half + 1), weights):
+            if x:
+                y = F.lead("y", k).over(w) if k > 0 else F.lag("y", -k).over(w) if k < 0 else F.col("y")
+                num, den = num + x * F.coalesce(y, F.lit(0.0)), den + F.when(y.isNotNull(), F.lit(x)).otherwise(0.0)
+        return F.struct(num.alias("n"), den.alias("d"))
+
+    return near(df, keys, "i", half, half, _both=sums).withColumns({"_num": F.col("_both.n"), "_den": F.col("_both.d")}).drop("_both").withColumn("smooth", F.when(F.col("y").isNotNull(), F.col("_num") / F.col("_den"))).drop("_num", "_den")
 
 
 def upsample(df: DataFrame, factor: int) -> DataFrame:

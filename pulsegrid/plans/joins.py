@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.plans.ordered import SECONDS, scan
+
 
 def _bucket(c: Column, width: float) -> Column:
     return F.floor(c / F.lit(float(width))).cast("long")
@@ -54,22 +56,17 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lo: float,
     return l.join(r, [*keys, "_b"]).withColumn("lag", lag).filter((F.col("lag") >= lo) & (F.col("lag") <= hi)).drop("_b")
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], direction: str = "backward", t: str = "t", prefix: str = "asof_") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], direction: str = "backward", t: str = "t", prefix: str = "asof_", bucket: float = SECONDS) -> DataFrame:
     """Each left row with the right row of its key at or before (backward), or at or after (forward), its time.
 
-    One sort by key and time over the union of both sides; ties are inclusive. The time and ``columns`` of the match come as
-    ``prefix`` columns, null where there is none.
+    One scan by key and time over the union of both sides, in buckets, so a hot key is spread; ties are inclusive, and of right
+    rows at one time the one of the largest (backward) or smallest (forward) columns counts. The time and ``columns`` of the match
+    come as ``prefix`` columns, null where there is none.
     """
     state = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate([t, *columns])])
     rows = F.struct(*[F.col(c) for c in left.columns])
-    empty = left.select(state.alias("_s")).schema["_s"].dataType if set([t, *columns]) <= set(left.columns) else right.select(state.alias("_s")).schema["_s"].dataType
-    l = left.select(*keys, F.col(t).alias("_t"), F.lit(1).alias("_side"), rows.alias("_row"), F.lit(None).cast(empty).alias("_s"))
-    r = right.select(*keys, F.col(t).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), state.alias("_s"))
-    both = l.unionByName(r)
-    by = Window.partitionBy(*keys)
-    if direction == "backward":
-        match = F.last("_s", ignorenulls=True).over(by.orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        match = F.last("_s", ignorenulls=True).over(by.orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("_m", match).filter("_side = 1")
+    l = left.select(*keys, F.col(t).alias("_t"), rows.alias("_row"))
+    r = right.select(*keys, F.col(t).alias("_t"), state.alias("_s"))
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_side", F.when(F.col("_row").isNotNull(), 1).otherwise(0 if direction == "backward" else 2))
+    out = scan(both, keys, ["_t", "_side"], bucket, _m=("last" if direction == "backward" else "next", "_s")).filter("_side = 1")
     return out.select("_row.*", *[F.col(f"_m.v{i}").alias(prefix + c) for i, c in enumerate([t, *columns])])

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import circular as C
@@ -20,6 +20,7 @@ from pulsegrid.operators import kernels as K
 from pulsegrid.operators import segments as S
 from pulsegrid.operators import signals as SG
 from pulsegrid.plans.joins import range_join
+from pulsegrid.plans.ordered import bucketed_lag, bucketed_rank
 from pulsegrid.session import table
 from pulsegrid.sources import binary as B
 
@@ -42,8 +43,7 @@ def seg(spark: SparkSession, d: str, rest: int, half: float) -> DataFrame:
 
 
 def sig(spark: SparkSession, d: str) -> DataFrame:
-    i = F.row_number().over(Window.partitionBy("k").orderBy("t", "event_id")) - 1
-    return ev(spark, d).select("k", i.cast("long").alias("i"), "t", F.col("v").alias("y"))
+    return bucketed_rank(ev(spark, d).select("k", "event_id", "t", F.col("v").alias("y")), KEY, ["t", "event_id"], 3600.0, "i").select("k", "i", "t", "y")
 
 
 def emb(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +108,7 @@ ABC = "(SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)"
 
 # Segments
 
-query("seg_merge", lambda s, d: S.merge(A(s, d), KEY, bucket=86400.0), f"SELECT * FROM {M('a')}", SS)
+query("seg_merge", lambda s, d: S.merge(A(s, d), KEY), f"SELECT * FROM {M('a')}", SS)
 query("seg_merge_nonstrict", lambda s, d: S.merge(A(s, d), KEY, strict=False), f"SELECT * FROM {M('a', op='>=')}", SS)
 query("seg_join_gap", lambda s, d: S.join_gaps(A(s, d), KEY, 900.0), f"SELECT * FROM {M('a', 900)}", SS)
 query("seg_union", lambda s, d: S.union([A(s, d), Bq(s, d), Cq(s, d)], KEY), f"SELECT * FROM {M(ABC)}", SS)
@@ -127,7 +127,7 @@ query("seg_split_sliding", lambda s, d: S.split(S.merge(A(s, d), KEY), 400.0, 0.
 # The operators on one set of segments over the windows of all events
 every = lambda s, d: ev(s, d).select("k", (F.col("t") - 600.0).alias("start"), (F.col("t") + 600.0).alias("stop"))
 EVERY = "(SELECT k, t - 600 AS start, t + 600 AS stop FROM ev)"
-query("seg_merge_all", lambda s, d: S.merge(every(s, d), KEY, bucket=86400.0), f"SELECT * FROM {M(EVERY)}", SS)
+query("seg_merge_all", lambda s, d: S.merge(every(s, d), KEY), f"SELECT * FROM {M(EVERY)}", SS)
 query("seg_merge_nonstrict_all", lambda s, d: S.merge(every(s, d), KEY, strict=False), f"SELECT * FROM {M(EVERY, op='>=')}", SS)
 query("seg_join_gap_all", lambda s, d: S.join_gaps(every(s, d), KEY, 900.0), f"SELECT * FROM {M(EVERY, 900)}", SS)
 query("seg_invert_all", lambda s, d: S.invert(every(s, d), KEY).filter("start > double('-infinity') and stop < double('infinity')"), f"SELECT * FROM {INV(EVERY)} WHERE isfinite(start) AND isfinite(stop)", SS)
@@ -285,7 +285,7 @@ def line(s, d):
 
 
 query("stat_bin2d", lambda s, d: line(s, d).select(ST.bin_index(F.col("l_quantity"), 1.0, 51.0, 10).alias("bx"), ST.bin_index_edges(F.col("l_discount"), [0.0, 0.015, 0.035, 0.075, 0.1]).alias("by")).filter("bx is not null and by is not null").groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(floor((l_quantity - 1) / 5) AS INT) AS bx, CASE WHEN l_discount < 0.015 THEN 0 WHEN l_discount < 0.035 THEN 1 WHEN l_discount < 0.075 THEN 2 ELSE 3 END AS by, count(*) AS n FROM lineitem WHERE l_quantity >= 1 AND l_quantity < 51 AND l_discount >= 0 AND l_discount < 0.1 GROUP BY ALL")
-query("stat_group_map", lambda s, d: line(s, d).select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_quantity") - F.avg("l_quantity").over(Window.partitionBy("l_returnflag"))).alias("centered")), "SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity - avg(l_quantity) OVER (PARTITION BY l_returnflag) AS centered FROM lineitem", "centered")
+query("stat_group_map", lambda s, d: line(s, d).join(F.broadcast(line(s, d).groupBy("l_returnflag").agg(F.avg("l_quantity").alias("_m"))), "l_returnflag").select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_quantity") - F.col("_m")).alias("centered")), "SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity - avg(l_quantity) OVER (PARTITION BY l_returnflag) AS centered FROM lineitem", "centered")
 query("stat_dense", lambda s, d: ST.dense(E.regular_bins(ev(s, d), KEY, 0.0, 86400.0).withColumn("bin", F.col("bin").cast("int")), KEY, {"bin": 31}, "n"), "SELECT g.k, CAST(b AS INT) AS bin, count(ev.t) AS n FROM (SELECT DISTINCT k FROM ev) g CROSS JOIN range(31) t(b) LEFT JOIN ev ON ev.k = g.k AND floor(ev.t / 86400) = b GROUP BY ALL")
 query("stat_monte_carlo", lambda s, d: ev(s, d).groupBy("k").agg(*[ST.monte_carlo_pvalue("v", F.lit(120.0), t, 50.0).alias(t) for t in ("right", "left", "both")]), 'SELECT k, (count(*) FILTER (v >= 120) + 1) / (count(v) + 1) AS "right", (count(*) FILTER (v <= 120) + 1) / (count(v) + 1) AS "left", (count(*) FILTER (abs(v - 50) >= 70) + 1) / (count(v) + 1) AS "both" FROM ev GROUP BY k')
 PV = "(SELECT k, user_id % 20 AS g, (floor(v) % 97 + 1) / 98 AS p FROM ev WHERE user_id < 40)"
@@ -324,7 +324,7 @@ def ang(s, d):
 
 
 query("circ_wrap", lambda s, d: ang(s, d).select("event_id", C.wrap(F.col("theta") * 3, -math.pi, math.pi).alias("w"), C.in_range(F.col("theta"), 5.5, 1.0).alias("night")), f"SELECT event_id, theta * 3 + {math.pi!r} - floor((theta * 3 + {math.pi!r}) / {TAU!r}) * {TAU!r} - {math.pi!r} AS w, theta >= 5.5 OR theta <= 1 AS night FROM ang", "w")
-query("circ_diff", lambda s, d: ang(s, d).withColumn("p", F.lag("theta").over(Window.partitionBy("k").orderBy("event_id"))).select("event_id", C.difference(F.col("p"), F.col("theta"), True).alias("directed"), C.difference(F.col("p"), F.col("theta")).alias("undirected")), f"SELECT event_id, w AS directed, abs(w) AS undirected FROM (SELECT event_id, x + {math.pi!r} - floor((x + {math.pi!r}) / {TAU!r}) * {TAU!r} - {math.pi!r} AS w FROM (SELECT event_id, theta - lag(theta) OVER (PARTITION BY k ORDER BY event_id) AS x FROM ang))", "directed undirected")
+query("circ_diff", lambda s, d: bucketed_lag(ang(s, d), KEY, ["event_id"], ["theta"], 65536.0).select("event_id", C.difference(F.col("prev_theta"), F.col("theta"), True).alias("directed"), C.difference(F.col("prev_theta"), F.col("theta")).alias("undirected")), f"SELECT event_id, w AS directed, abs(w) AS undirected FROM (SELECT event_id, x + {math.pi!r} - floor((x + {math.pi!r}) / {TAU!r}) * {TAU!r} - {math.pi!r} AS w FROM (SELECT event_id, theta - lag(theta) OVER (PARTITION BY k ORDER BY event_id) AS x FROM ang))", "directed undirected")
 query("circ_moments", lambda s, d: C.moments(ang(s, d), KEY), f"""SELECT k, n, m - floor(m / {TAU!r}) * {TAU!r} AS mean, r, dispersion, c2 AS re2, s2 AS im2, sqrt(-2 * ln(r)) AS std, asin(least(1.0, 1.959963984540054 * sqrt(dispersion / n))) AS ci, ray AS rayleigh_s, exp(-ray / 2) AS rayleigh_p FROM (SELECT *, (1 - 1 / (2 * n)) * 2 * n * r * r + n * pow(r, 4) / 2 AS ray, (1 - sqrt(c2 * c2 + s2 * s2)) / (2 * r * r) AS dispersion FROM (SELECT *, sqrt(c * c + s * s) AS r, atan2(s, c) AS m FROM
 (SELECT k, count(*) AS n, avg(cos(theta)) AS c, avg(sin(theta)) AS s, avg(cos(2 * theta)) AS c2, avg(sin(2 * theta)) AS s2 FROM ang GROUP BY k)))""", "mean r dispersion re2 im2 std ci rayleigh_s rayleigh_p")
 query("circ_kuiper", lambda s, d: C.kuiper(ang(s, d), KEY), f"SELECT k, v, (8 * v * v - 2) * exp(-2 * v * v) AS p FROM (SELECT k, (max(u) - min(u) + 1 / any_value(n)) * (sqrt(any_value(n)) + 0.155 + 0.24 / sqrt(any_value(n))) AS v FROM (SELECT k, n, theta / {TAU!r} - (row_number() OVER (PARTITION BY k ORDER BY theta) - 1) / n AS u FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM ang)) GROUP BY k)", "v p")
@@ -359,7 +359,7 @@ p(node, distance, hops) AS (SELECT 0, 0.0::DOUBLE, 0 UNION ALL SELECT * FROM (SE
 # Utilities
 
 query("util_in_range", lambda s, d: ev(s, d).filter(ST.in_range(F.col("v"), 20.0, 80.0) & ~ST.in_range(F.col("v"), 60.0, 40.0)).select("event_id"), "SELECT event_id FROM ev WHERE v BETWEEN 20 AND 80 AND NOT (v >= 60 OR v <= 40)")
-query("util_natural_sort", lambda s, d: table(s, d, "customer").select("c_custkey", ST.natural_key(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("_b")), 8).alias("key")), "SELECT c_custkey, 'c' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '_b' AS key FROM customer")
+query("util_natural_sort", lambda s, d: table(s, d, "customer").select("c_custkey", ST.natural_key(F.concat(F.lit("c0"), F.col("c_custkey").cast("string"), F.lit("_b"))).alias("key")), "SELECT c_custkey, 'c' || lpad(CAST(length(CAST(c_custkey AS VARCHAR)) AS VARCHAR), 10, '0') || ':' || c_custkey || '_b' AS key FROM customer")
 query("util_map_zip", lambda s, d: table(s, d, "nation").select("n_nationkey", F.map_zip_with(F.create_map(F.lit("a"), "n_nationkey"), F.create_map(F.lit("a"), F.col("n_regionkey"), F.lit("b"), F.lit(1)), lambda k, x, y: F.coalesce(x, F.lit(-1)) + F.coalesce(y, F.lit(-1))).alias("m")).select("n_nationkey", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b")), "SELECT n_nationkey, CAST(n_nationkey + n_regionkey AS INT) AS a, 0 AS b FROM nation")
 query("util_range_join_left", lambda s, d: range_join(ev(s, d), S.merge(Cq(s, d), KEY), KEY, 700.0, how="left").select("event_id", "start", "stop"), f"SELECT event_id, m.start, m.stop FROM ev LEFT JOIN {M('c')} m ON m.k = ev.k AND t >= m.start AND t < m.stop", SS)
 query("io_ttl_pulses", lambda s, d: B.ttl_pulses(table(s, d, "nlx_event"), ["session_id"], 6), """SELECT session_id, port, timestamp AS start_us, nt AS stop_us FROM (SELECT *, lead(timestamp) OVER w AS nt FROM (SELECT *, lag(o, 1, false) OVER w AS p FROM (SELECT session_id, rec_id, timestamp, CAST(regexp_extract(eventstring, 'port (\\d+)', 1) AS INT) AS port, (CAST('0x' || regexp_extract(eventstring, '\\(0x([0-9A-Fa-f]+)\\)', 1) AS INT) & 64) <> 0 AS o FROM nlx_event WHERE timestamp IS NOT NULL AND regexp_matches(eventstring, 'TTL Input on (\\S+) board (\\d+) port (\\d+) value \\((0x[0-9A-Fa-f]+)\\)'))

@@ -12,11 +12,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from pulsegrid.plans.ordered import scan
+
 HEADER_BYTES = 16384
 
 # Record layouts of the vendors' files, as (name, numpy type, shape).
@@ -191,13 +193,14 @@ def parse_ttl(events: DataFrame, column: str = "eventstring") -> DataFrame:
     return events.filter(F.col(column).rlike(TTL)).withColumns({"board_name": part(1), "board": part(2).cast("int"), "port": part(3).cast("int"), "value": value})
 
 
-def ttl_pulses(events: DataFrame, keys: list[str], bit: int, minimum_us: int = 50_000) -> DataFrame:
+def ttl_pulses(events: DataFrame, keys: list[str], bit: int, minimum_us: int = 50_000, bucket: float = 3.6e9) -> DataFrame:
     """Pulses of one bit of each port: from a rising edge to the next falling one, longer than ``minimum_us``."""
-    w = Window.partitionBy(*keys, "port").orderBy("timestamp", "rec_id")
     on = F.col("value").bitwiseAND(F.lit(1 << bit)) != 0
-    d = parse_ttl(events.filter("timestamp is not null")).withColumn("_on", on)
-    d = d.withColumn("_was", F.lag("_on", 1, False).over(w)).filter("_on <> _was").withColumns({"_next": F.lead("timestamp").over(w)})
-    return d.filter(F.col("_on") & (F.col("_next") - F.col("timestamp") > minimum_us)).select(*keys, "port", F.col("timestamp").alias("start_us"), F.col("_next").alias("stop_us"))
+    by = [*keys, "port"]
+    d = parse_ttl(events.filter("timestamp is not null")).select(*by, "timestamp", "rec_id", on.alias("_on"))
+    edges = scan(d, by, ["timestamp", "rec_id"], bucket, _was=("lag", "_on")).filter(F.col("_on") != F.coalesce("_was", F.lit(False))).drop("_was")
+    d = scan(edges, by, ["timestamp", "rec_id"], bucket, _next=("lead", "timestamp"))
+    return d.filter(F.col("_on") & (F.col("_next") - F.col("timestamp") > minimum_us)).select(*by, F.col("timestamp").alias("start_us"), F.col("_next").alias("stop_us"))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
