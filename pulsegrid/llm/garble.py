@@ -59,8 +59,8 @@ LEAST_LETTER, LETTERS = 1e-6, 1023
 SOURCES = 1024
 #: Weight of the all-language bigrams within a language, and of the even distribution within those.
 LANGUAGE_PRIOR, EVEN_PRIOR, EVEN = 20.0, 2.0, 1e-4
-#: Weight of a code page's letter in the M-step, in occurrences; iterations of the inner EM (with a page, without one).
-PAGE_WEIGHT, INNER, INNER_FREE = 20.0, 6, 60
+#: Weight of a code page's letter in the M-step, in occurrences; iterations of the inner EM (with a page, without one); share from which a letter counts as one of a language's.
+PAGE_WEIGHT, INNER, INNER_FREE, RARE = 20.0, 6, 40, 1e-5
 #: Least occurrences and symbols of a free cipher, and the share of them that a code page has to explain to become its prior.
 FREE_WEIGHT, FREE_SYMBOLS, AGREE = 60.0, 5, 0.55
 
@@ -252,15 +252,13 @@ class Model:
 
 
 STRIP = ".,:;()!?\"'[]/-"
-#: A token with a character beyond ASCII; looked for at the beginnings of tokens only, so that it takes linear time.
-TOKEN = r"(?<![!-~])[!-~]*+[^\x00-\x7F][^ \t\r\n]*+"
-_TOKEN = re.compile(TOKEN)
+BLANK = re.compile("[ \t\r\n]+")
 PASSAGE = re.compile(r"([\r\n]+|(?<=[.!?])[ \t]+)")
 
 
 def tokens(text: str) -> list[str]:
     """Tokens with a character beyond ASCII, without ASCII punctuation around them."""
-    return [t.strip(STRIP) for t in _TOKEN.findall(text)]
+    return [x.strip(STRIP) for x in BLANK.split(text) if not x.isascii()]
 
 
 def language(lang: Column) -> Column:
@@ -277,8 +275,9 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 def vocabulary(keyed: DataFrame) -> DataFrame:
     """key, lang, token, n over the whole corpus."""
-    beyond = keyed.filter(F.octet_length("text") > F.length("text"))
-    rows = beyond.select("key", "lang", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("token"))
+    beyond = lambda c: F.octet_length(c) > F.length(c)
+    parts = keyed.filter(beyond("text")).select("key", "lang", F.explode(F.split("text", " ")).alias("part")).filter(beyond("part"))  # by one character, which is quick
+    rows = parts.select("key", "lang", F.explode(F.split("part", r"[\t\r\n]+")).alias("token")).filter(beyond("token"))
     return rows.select("key", "lang", F.btrim("token", F.lit(STRIP)).alias("token")).groupBy("key", "lang", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -352,12 +351,16 @@ def decipher(pairs: pd.DataFrame, model: Model, prior: dict[str, str] | None, ro
     likeliest letter of each symbol and the symbols' weights. All sizes are bounded by the alphabets.
     """
     symbols = sorted({c for col in ("a", "b") for c in pairs[col].unique() if c > 127})
-    own = np.array([i + 1 for i, c in enumerate(model.letters) if ord(c) > 127])
+    use = np.zeros(len(model.letters) + 1)
+    for lang, w in pairs.groupby("lang")["w"].sum().items():
+        use += model.firsts[model.lang(lang)] * w
+    usual = use > RARE * max(use.sum(), 1e-12)  # the letters of these languages, and those the page has
+    own = np.array([i + 1 for i, c in enumerate(model.letters) if ord(c) > 127 and (usual[i + 1] or prior and c in set(prior.values()))])
     if not symbols or not len(own):
         return {}, {}
     at = {c: i for i, c in enumerate(symbols)}
     place = {model.letters[i - 1]: j for j, i in enumerate(own)}
-    blocks, heavy, use = [], np.zeros(len(symbols)), np.zeros(len(own))
+    blocks, heavy = [], np.zeros(len(symbols))
     for lang, p in pairs.groupby("lang"):
         g = model.lang(lang)
         joint = np.exp(model.logs[g]) * model.firsts[g][:, None].astype(np.float32)
@@ -371,8 +374,7 @@ def decipher(pairs: pd.DataFrame, model: Model, prior: dict[str, str] | None, ro
         ascii_ = model.lut[:128]
         blocks.append((ab, joint[np.ix_(own, own)], left, joint[np.ix_(ascii_, own)], right, joint[np.ix_(own, ascii_)].T))
         heavy += ab.sum(axis=0) + left.sum(axis=0)
-        use += model.firsts[g][own] * w.sum()
-    use /= max(use.sum(), 1e-12)
+    use = use[own] / max(use[own].sum(), 1e-12)
     start = np.zeros((len(own), len(symbols)))
     if prior:
         for c, letter in prior.items():
@@ -425,6 +427,15 @@ def _maximise(pdf: pd.DataFrame, model: Model) -> pd.DataFrame:
     if swap == FREE:
         lang, table = pdf["lang"].iloc[0], {}
         aliens = model.aliens.get((key, lang), {})
+        known = model.tables.get((key, lang, FREE))
+        if model.tables:  # after the first round a free cipher goes on from what it has
+            again, weights = decipher(pdf, model, known, INNER) if known else ({}, {})
+            table = {**(known or {}), **{c: x for c, x in again.items() if weights[c] >= PAGE_WEIGHT and aliens.get(c, 0.0) > 0.5}}
+            return pd.DataFrame([(key, lang, swap, c, x) for c, x in table.items()], columns=["key", "lang", "swap", "symbol", "letter"])
+        seen = np.concatenate([pdf["b"].to_numpy(), [0]])
+        heavy = np.array([aliens.get(chr(c), 0.0) > 0.5 for c in seen])[:-1]
+        if pdf["w"].to_numpy()[heavy].sum() < FREE_WEIGHT or len(set(seen[:-1][heavy])) < FREE_SYMBOLS:
+            return pd.DataFrame([], columns=["key", "lang", "swap", "symbol", "letter"])
         for own in (pdf, pdf[pdf["kind"] == "pair"]):  # with what a listed cipher may have half explained, or without
             learned, weights = decipher(own, model, None, INNER_FREE)
             learned = {c: x for c, x in learned.items() if aliens.get(c, 0.0) > 0.5 and x != c}
@@ -458,7 +469,9 @@ def _aliens(keyed: DataFrame, anchors: dict[str, tuple[str, float]]) -> dict[tup
     if not anchors:
         return {}
     known = F.create_map(*[x for g, (letters, share) in anchors.items() for x in (F.lit(g), F.struct(F.lit(letters).alias("letters"), F.lit(share / 2).alias("least")))])
-    beyond = keyed.filter(F.octet_length("text") > F.length("text")).select("key", "lang", F.try_element_at(known, F.col("lang")).alias("a"), F.regexp_replace("text", r"[\x00-\x7F]+", "").alias("s")).filter("a is not null")
+    beyond = keyed.filter(F.octet_length("text") > F.length("text")).select("key", "lang", F.try_element_at(known, F.col("lang")).alias("a"), "text").filter("a is not null")
+    parts = F.filter(F.split("text", " "), lambda x: F.octet_length(x) > F.length(x))  # by one character, which is quick
+    beyond = beyond.select("key", "lang", "a", F.regexp_replace(F.array_join(parts, ""), r"[\x00-\x7F]+", "").alias("s"))
     anchored = 1 - F.length(F.call_function("translate", F.col("s"), F.col("a.letters"), F.lit(""))) / F.length("s") >= F.col("a.least")
     rows = beyond.select("key", "lang", anchored.cast("int").alias("own"), F.explode(F.concat(F.array_distinct(F.split("s", "")), F.array(F.lit("")))).alias("symbol"))
     sums = rows.groupBy("key", "lang", "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("own")).filter("n >= 5").collect()  # bounded by the alphabets
@@ -518,19 +531,23 @@ def _fit(keyed: DataFrame, rounds: int) -> Model:
             else:
                 shares[r.key][r.swap] = r.w
         logs = {k: np.log(np.maximum(LEAST_SHARE, np.array([x.get(s, 0.0) for s in SWAPS]) / max(x.get("", 0.0), 1.0))) for k, x in shares.items()}
-        better = spark.sparkContext.broadcast(Model(letters, counts, langs, logs, {}, aliens))
+        better = spark.sparkContext.broadcast(Model(letters, counts, langs, logs, model.tables, aliens))
         pairs = sums.filter("kind in ('pair', 'listed')").withColumn("_free", F.when(F.col("swap") == FREE, F.col("lang")).otherwise(F.lit("")))
         heavy = pairs.groupBy("key", "swap", "_free").agg(F.sum("w").alias("_w")).filter("_w >= 2").drop("_w")
         pairs = pairs.join(heavy, ["key", "swap", "_free"]).repartition(tasks, "key", "swap", "_free")  # few rows, but costly groups
         learned = pairs.groupBy("key", "swap", "_free").applyInPandas(_maximiser(better), TABLES).collect()
         tables: dict = defaultdict(dict)
+        for k, t in model.tables.items():
+            if k[2] == FREE and not k[0]:
+                tables[k] = t
         for r in learned:
             tables[r.key, r.lang, r.swap][r.symbol] = r.letter
         paged = {k: float(t.pop("")) for k, t in tables.items() if "" in t}
         for k in sorted(paged, key=paged.get):  # a free cipher that a code page explains is tried in all sources, and instead of a blind one
             tables["", k[1], FREE] = tables[k]
-        for k in [k for k in tables if k[2] == FREE and k not in paged and ("", k[1], FREE) in tables and k[0]]:
-            del tables[k]
+        if paged:
+            for k in [k for k in tables if k[2] == FREE and k not in paged and ("", k[1], FREE) in tables and k[0]]:
+                del tables[k]
         model = Model(letters, counts, langs, logs, dict(tables) or {("", "", ""): {}}, aliens)
         sent.unpersist()
         better.unpersist()
