@@ -52,7 +52,7 @@ START, END = "\x02", "\x03"
 #: All characters beyond the basic plane count as this one letter.
 ASTRAL = "\uffff"
 #: EM rounds; the share a swap starts from; the least share a swap may have in a source; evidence of a one-character token; of any token.
-ROUNDS, FIRST_SHARE, LEAST_SHARE, ONE_CHARACTER, MOST = 3, 0.005, 1e-4, 2.0, 12.0
+ROUNDS, FIRST_SHARE, LEAST_SHARE, ONE_CHARACTER, MOST = 2, 0.005, 1e-4, 2.0, 12.0
 #: A character is a letter of the model if it has this share of the tokens' characters, for at most LETTERS of them (others are one unknown letter).
 LEAST_LETTER, LETTERS = 1e-6, 1023
 #: Sources with ciphers of their own; if there are more, sources share ciphers by hash, so the model stays bounded.
@@ -439,7 +439,7 @@ def _maximise(pdf: pd.DataFrame, model: Model) -> pd.DataFrame:
         for own in (pdf, pdf[pdf["kind"] == "pair"]):  # with what a listed cipher may have half explained, or without
             learned, weights = decipher(own, model, None, INNER_FREE)
             learned = {c: x for c, x in learned.items() if aliens.get(c, 0.0) > 0.5 and x != c}
-            if len(learned) < FREE_SYMBOLS or sum(weights[c] for c in learned) < FREE_WEIGHT:
+            if sum(x.isalpha() for x in learned.values()) < FREE_SYMBOLS or sum(weights[c] for c in learned) < FREE_WEIGHT:
                 break
             page = likely_page(learned, weights)
             if not page:
@@ -468,13 +468,28 @@ def _aliens(keyed: DataFrame, anchors: dict[str, tuple[str, float]]) -> dict[tup
     """
     if not anchors:
         return {}
-    known = F.create_map(*[x for g, (letters, share) in anchors.items() for x in (F.lit(g), F.struct(F.lit(letters).alias("letters"), F.lit(share / 2).alias("least")))])
-    beyond = keyed.filter(F.octet_length("text") > F.length("text")).select("key", "lang", F.try_element_at(known, F.col("lang")).alias("a"), "text").filter("a is not null")
-    parts = F.filter(F.split("text", " "), lambda x: F.octet_length(x) > F.length(x))  # by one character, which is quick
-    beyond = beyond.select("key", "lang", "a", F.regexp_replace(F.array_join(parts, ""), r"[\x00-\x7F]+", "").alias("s"))
-    anchored = 1 - F.length(F.call_function("translate", F.col("s"), F.col("a.letters"), F.lit(""))) / F.length("s") >= F.col("a.least")
-    rows = beyond.select("key", "lang", anchored.cast("int").alias("own"), F.explode(F.concat(F.array_distinct(F.split("s", "")), F.array(F.lit("")))).alias("symbol"))
-    sums = rows.groupBy("key", "lang", "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("own")).filter("n >= 5").collect()  # bounded by the alphabets
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+        for pdf in batches:
+            for key, lang, text in zip(pdf["key"], pdf["lang"], pdf["text"]):
+                letters, share = anchors.get(lang, ("", 0.0))
+                beyond = len(text) - len(text.encode("ascii", "ignore"))
+                own = beyond * share / 2 <= sum(text.count(c) for c in letters)
+                for c in set(text) if letters else ():
+                    if not c.isascii():
+                        n = sums[key, lang, c]
+                        n[0] += 1
+                        n[1] += own
+                if letters:
+                    n = sums[key, lang, ""]
+                    n[0] += 1
+                    n[1] += own
+        yield pd.DataFrame([(*k, *n) for k, n in sums.items()], columns=["key", "lang", "symbol", "n", "own"])
+
+    beyond = keyed.filter(F.octet_length("text") > F.length("text")).select("key", "lang", "text")
+    rows = beyond.mapInPandas(counted, "key string, lang string, symbol string, n long, own long")
+    sums = rows.groupBy("key", "lang", "symbol").agg(F.sum("n").alias("n"), F.sum("own").alias("own")).filter("n >= 5").collect()  # bounded by the alphabets
     base = {(r.key, r.lang): r.own / r.n for r in sums if r.symbol == ""}
     out: dict = defaultdict(dict)
     for r in sums:

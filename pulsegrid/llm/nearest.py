@@ -1,16 +1,17 @@
 """Pair records of two tables with the nearest record in time of the same entity, within a tolerance.
 
-Tick expansion: the time axis is cut into ticks as wide as the tolerance. Each right record is expanded to every tick
-from which it can be reached (its own and both neighbours). Per entity and tick only the nearest candidates stay: the last
-record before the tick, the first one after it, and the distinct times inside it. Left records then meet their tick in an
-equi-join, at most one row each, so no pairs within a group are ever emitted.
+Tick expansion: the time axis is cut into ticks as wide as the tolerance. Each right record is expanded to every tick from
+which it can be reached (its own and both neighbours). Per entity and tick only the nearest candidates stay: the last record
+before the tick, the first one after it, and the distinct times inside it (at most as many as the tick has clock units). Left
+records join their tick and take the nearest candidate on either side in one ordered pass, so a tick costs its rows, never
+their pairs, and no list of a tick is ever built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,19 +33,17 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left
     around = l.select(*keys, "_tick").distinct().select(*keys, F.explode(F.array(F.col("_tick") - 1, F.col("_tick"), F.col("_tick") + 1)).alias("_tick")).distinct()
     first = r.groupBy(*keys, "_rt").agg(F.min("_rid").alias("_rid")).withColumn("_tick", tick("_rt"))
     near = first.join(around, [*keys, "_tick"], "left_semi")
-    record = F.struct("_rt", F.col("_rid").alias("_id"))
-    expanded = near.select(*keys, record.alias("_r"), F.explode(F.array(
-        F.struct((F.col("_tick") - 1).alias("to"), F.lit("after").alias("side")),
-        F.struct(F.col("_tick").alias("to"), F.lit("in").alias("side")),
-        F.struct((F.col("_tick") + 1).alias("to"), F.lit("before").alias("side")),
-    )).alias("_e"))
-    expanded = expanded.select(*keys, F.col("_e.to").alias("_tick"), F.col("_e.side").alias("_side"), "_r")
-    kept = expanded.groupBy(*keys, "_tick").agg(
-        F.max(F.when(F.col("_side") == "before", F.col("_r"))).alias("_before"),
-        F.min(F.when(F.col("_side") == "after", F.col("_r"))).alias("_after"),
-        F.collect_list(F.when(F.col("_side") == "in", F.col("_r"))).alias("_in"),
-    )
-    candidates = F.array_compact(F.concat(F.array("_before", "_after"), "_in"))
-    best = F.array_min(F.transform(candidates, lambda x: F.struct(F.abs(x["_rt"] - F.col("_lt")).alias("distance"), x["_id"].alias("target_id"))))
-    paired = l.join(kept, [*keys, "_tick"]).select(F.col("_lid").alias(left_id), best.alias("_b"))
-    return paired.filter(F.col("_b.distance") <= tolerance).select(left_id, F.col("_b.target_id").alias("target_id"), F.col("_b.distance").alias("distance"))
+    wanted = l.select(*keys, "_tick").distinct()
+    expanded = near.select(*keys, "_rt", "_rid", F.inline(F.array(*[F.struct((F.col("_tick") + d).alias("_to"), F.lit(d).alias("_side")) for d in (-1, 0, 1)])))
+    expanded = expanded.withColumnRenamed("_to", "_tick").join(wanted, [*keys, "_tick"], "left_semi")
+    record = F.struct("_rt", "_rid")
+    kept = expanded.groupBy(*keys, "_tick", "_side", F.when(F.col("_side") == 0, F.col("_rt")).alias("_own")).agg(F.when(F.col("_side") == 1, F.max(record)).otherwise(F.min(record)).alias("_r"))
+    both = kept.select(*keys, "_tick", F.col("_r._rt").alias("_t"), "_r").unionByName(l.select(*keys, "_tick", F.col("_lt").alias("_t"), "_lid"), allowMissingColumns=True)
+    tick_rows = Window.partitionBy(*keys, "_tick").orderBy("_t", F.col("_r").isNull())  # a candidate at the same time comes first
+    before = F.last("_r", True).over(tick_rows.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_r", True).over(tick_rows.rowsBetween(0, Window.unboundedFollowing))
+    sides = both.withColumns({"_b": before, "_a": after}).filter("_lid is not null")
+    distance = lambda r: F.struct(F.abs(F.col("_t") - F.col(r)["_rt"]).alias("distance"), F.col(r)["_rid"].alias("target_id"))
+    best = F.array_min(F.array_compact(F.array(*[F.when(F.col(r).isNotNull(), distance(r)) for r in ("_b", "_a")])))
+    paired = sides.select(F.col("_lid").alias(left_id), best.alias("_m")).filter(F.col("_m.distance") <= tolerance)
+    return paired.select(left_id, F.col("_m.target_id").alias("target_id"), F.col("_m.distance").alias("distance"))

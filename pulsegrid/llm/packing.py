@@ -1,16 +1,17 @@
 """Filling containers of fixed capacity with whole items, with every window of containers at the corpus' mixture of sources.
 
-What has to be decided depends only on how many items of each size each source has, so the plan is made on that histogram (at
-most capacity x sources counts, whatever the number of items) and applied to the items by their position in their queue:
+The plan of containers depends only on how many items of each size there are, so it is made on that histogram (at most as many
+counts as the capacity has tokens, whatever the number of items or sources) and applied to the items by their position:
 
-1. Every (size, source) is a queue. The j-th item of a queue of n has the virtual time (j + 1/2) / n; the merged position of an
-   item among all items of its size follows in closed form from the lengths of the queues.
+1. Every (size, source) is a queue. The j-th item of a queue of n has the virtual time (j + 1/2) / n; items of one size are
+   taken in order of virtual time, so the queues are served round-robin in proportion to their lengths.
 2. Best fit, largest sizes first, on ranges of equal containers: a range of containers with the same free space takes the same
    items, so one entry of the plan stands for any number of containers.
 3. Containers are dealt to windows by deficit round-robin: in each round every window takes one container of a run of similar
    ones, the one that its deficits call for (tokens of each source it has less or more than its share); deficits carry on over
-   the rounds. Windows are dealt in groups of at most about GROUP items, each an even sample of the containers; what a group's
-   own mixture differs from the corpus' (a random sample's deviation) is shared by its windows.
+   the rounds. Windows are dealt in groups of at most about GROUP items, each an even sample of the containers.
+4. Deficits carry on over windows and groups: the sums of earlier groups' deficits (a prefix sum over one row per group and
+   source) come into a group, and its windows follow in the order that keeps the running deficit smallest.
 """
 
 from __future__ import annotations
@@ -19,13 +20,11 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.plans.ordered import bucketed_rank
+from pulsegrid.plans.ordered import POSITIONS, scan
 
-#: Distinct sources that get a queue of their own; the rest share one (a bound on the plan's size).
-SOURCES = 64
 GOLDEN = 0.6180339887498949
 #: Most capacities in one call.
 PACKS = 1000
@@ -95,14 +94,17 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int
     return plan, sorted((first, n) for ranges in free.values() for first, n in ranges)
 
 
-def _merged(position: Column, length: Column, source: Column, lengths: Column) -> Column:
-    """Position over all queues of the j-th item of one: the items whose virtual time is smaller (or equal, of an earlier queue)."""
-    ahead = 2 * position + 1
-    return F.aggregate(
-        F.transform(lengths, lambda n, p: F.struct(n.alias("n"), p.alias("p"))),
-        F.lit(0).cast("long"),
-        lambda total, q: total + F.when(q["p"] == source, position).otherwise(F.call_function("div", ahead * q["n"] + length - F.when(q["p"] < source, 0).otherwise(1), 2 * length)),
-    )
+def in_order(over: np.ndarray, carried: np.ndarray) -> np.ndarray:
+    """Order of windows (tokens over their share, by source) that keeps the running deficit, ``carried`` at first, small: each next one cancels most of it."""
+    left, order, running = np.ones(len(over), dtype=bool), [], carried.astype(float).copy()
+    square = (over**2).sum(axis=1)
+    for _ in range(len(over)):
+        cost = np.where(left, 2 * over @ running + square, np.inf)
+        w = int(cost.argmin())
+        order.append(w)
+        left[w] = False
+        running += over[w]
+    return np.array(order, dtype=np.int64)
 
 
 def pack(items: DataFrame, capacities: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -112,54 +114,74 @@ def pack(items: DataFrame, capacities: DataFrame, window: int = WINDOW) -> DataF
     full containers and a rest (parts 0, 1, ...), any other stays whole. Items of null or zero size have nothing to place and
     give no row; null sources share a queue; capacities must be positive (others are ignored). Repeated items are placed each.
     """
-    source = F.coalesce("source", F.lit(""))
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     sized = items.filter("size > 0").select("doc_id", source.alias("_source"), F.col("size").cast("long").alias("_size"))
-    names = sized.groupBy("_source").agg(F.sum("_size").alias("_t")).orderBy(F.desc("_t"), "_source").limit(SOURCES - 1).select("_source", (F.row_number().over(Window.orderBy(F.desc("_t"), "_source")) - 1).alias("_q"))
     caps = capacities.filter("capacity_tokens > 0").select("pack_name", "capacity_tokens").distinct().limit(PACKS + 1).collect()
     if len(caps) > PACKS:
         raise ValueError(f"more than {PACKS} capacities")
     packs = F.array(*[F.struct(F.lit(c.pack_name).alias("name"), F.lit(c.capacity_tokens).cast("long").alias("cap")) for c in caps]) if caps else F.array().cast("array<struct<name:string,cap:bigint>>")
-    queued = sized.join(F.broadcast(names), "_source", "left").withColumn("_q", F.coalesce("_q", F.lit(SOURCES - 1))).drop("_source")
-    cut = queued.withColumn("_pack", F.explode(packs)).select("*", F.col("_pack.name").alias("pack_name"), F.col("_pack.cap").alias("_cap")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_size") / F.col("_cap")) - 1)).alias("part"))
-    cut = cut.select("pack_name", "_cap", "doc_id", "_q", "part", F.least("_cap", F.col("_size") - F.col("part") * F.col("_cap")).alias("n_tokens"))
-    histogram = cut.groupBy("pack_name", "_cap", "n_tokens", "_q").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity x SOURCES rows a pack
-
-    spark, plans = items.sparkSession, []
-    targets: dict[str, tuple[list[float], int]] = {}  # shares of the sources; windows in a group
-    lengths: dict[tuple[str, int], dict[int, int]] = {}
-    for r in histogram:
-        lengths.setdefault((r["pack_name"], r["n_tokens"]), {})[r["_q"]] = r["n"]
-    for name, capacity in {(r["pack_name"], r["_cap"]) for r in histogram}:
-        counts = {size: sum(q.values()) for (pack_name, size), q in lengths.items() if pack_name == name}
+    cut = sized.withColumn("_pack", F.explode(packs)).select("*", F.col("_pack.name").alias("pack_name"), F.col("_pack.cap").alias("_cap")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_size") / F.col("_cap")) - 1)).alias("part"))
+    cut = cut.select("pack_name", "_cap", "doc_id", "_source", "part", F.least("_cap", F.col("_size") - F.col("part") * F.col("_cap")).alias("n_tokens"))
+    queues = cut.groupBy("pack_name", "_cap", "n_tokens", "_source").agg(F.count(F.lit(1)).alias("_queue"))
+    histogram = queues.groupBy("pack_name", "_cap", "n_tokens").agg(F.sum("_queue").alias("n")).collect()  # at most the capacity's number of rows a pack
+
+    spark, plans, groups_of = items.sparkSession, [], []
+    for name, capacity in sorted({(r["pack_name"], r["_cap"]) for r in histogram}, key=str):
+        counts = {r["n_tokens"]: r["n"] for r in histogram if r["pack_name"] == name}
         plan, ranges = best_fit(counts, capacity)
         by_size: dict[int, list] = {}
         for size, first, n, container, each in plan:
             by_size.setdefault(size, []).append((first, n, container, each))
-        width = 1 + max(q for (pack_name, _), sources in lengths.items() if pack_name == name for q in sources)
-        items = sum(counts.values())
-        groups = max(1, round(items / GROUP))
-        totals = [sum(size * q.get(i, 0) for (pack_name, size), q in lengths.items() if pack_name == name) for i in range(width)]
-        targets[name] = [t / sum(totals) for t in totals], max(1, round(sum(n for _, n in ranges) / window / groups))
-        plans += [(name, size, [lengths[name, size].get(q, 0) for q in range(width)], groups, entries) for size, entries in by_size.items()]
-    steps = spark.createDataFrame(plans, "pack_name string, n_tokens long, _lengths array<long>, _groups long, _plan array<struct<first:long,n:long,container:long,each:long>>")
-
-    spot = F.pmod(F.xxhash64("doc_id", "part"), F.lit(1 << 16))
-    ranked = bucketed_rank(cut.withColumn("_spot", spot), ["pack_name", "n_tokens", "_q"], ["_spot", "doc_id", "part"], 256, "_rank")
-    placed = ranked.join(F.broadcast(steps), ["pack_name", "n_tokens"])  # bounded by the capacities
-    placed = placed.withColumn("_at", _merged(F.col("_rank"), F.get("_lengths", F.col("_q")), F.col("_q"), F.col("_lengths")))
+        groups = max(1, round(sum(counts.values()) / GROUP))
+        groups_of.append((name, groups, max(1, round(sum(n for _, n in ranges) / window / groups)), float(sum(size * n for size, n in counts.items()))))
+        plans += [(name, size, counts[size], groups, entries) for size, entries in by_size.items()]
+    # small or not, Spark knows the size of a local relation and broadcasts it only if it is below the session's threshold
+    steps = spark.createDataFrame(plans, "pack_name string, n_tokens long, _count long, _groups long, _plan array<struct<first:long,n:long,container:long,each:long>>")
+    grouped = spark.createDataFrame(groups_of, "pack_name string, _g long, _each long, _all double")
+
+    # the position in a queue, then among all queues of the size by virtual time; both in buckets of expected positions
+    spot = F.pmod(F.xxhash64("doc_id", "part"), F.lit(1 << 40)) / float(1 << 40)
+    queued = cut.join(queues, ["pack_name", "_cap", "n_tokens", "_source"]).withColumn("_spot", spot * F.col("_queue"))
+    queued = scan(queued, ["pack_name", "n_tokens", "_source"], ["_spot", "doc_id", "part"], POSITIONS, _j=("rank", None))
+    timed = queued.join(steps, ["pack_name", "n_tokens"]).withColumn("_time", (F.col("_j") + 0.5) / F.col("_queue") * F.col("_count"))
+    placed = scan(timed, ["pack_name", "n_tokens"], ["_time", "_source", "doc_id", "part"], POSITIONS, _at=("rank", None))
     entry = F.get(F.filter("_plan", lambda e: (e["first"] <= F.col("_at")) & (F.col("_at") < e["first"] + e["n"])), 0)
     placed = placed.withColumn("_e", entry).withColumn("container", F.col("_e.container") + F.floor((F.col("_at") - F.col("_e.first")) / F.col("_e.each")))
     # multiples of the golden ratio lie evenly on the unit interval, and so do those of any range of containers
     even = F.col("container") * GOLDEN - F.floor(F.col("container") * GOLDEN)
-    placed = placed.withColumn("_group", F.floor(even * F.col("_groups")).cast("long")).select("pack_name", "_group", "_q", "container", "doc_id", F.col("part").cast("int").alias("part"), (F.col("part") * F.col("_cap")).alias("first_token"), "n_tokens")
-
-    def windows_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        target, each = targets[pdf["pack_name"].iloc[0]]
+    placed = placed.withColumn("_group", F.floor(even * F.col("_groups")).cast("long"))
+    placed = placed.select("pack_name", "_group", "_source", "container", "doc_id", F.col("part").cast("int").alias("part"), (F.col("part") * F.col("_cap")).alias("first_token"), "n_tokens")
+
+    # per group: its windows, the sources' target shares, and the deficits that earlier groups leave
+    totals = queues.groupBy("pack_name", "_source").agg(F.sum(F.col("n_tokens") * F.col("_queue")).alias("_tokens")).join(grouped, "pack_name")
+    shares = totals.select("pack_name", "_source", "_g", "_each", (F.col("_tokens") / F.col("_all")).alias("_share"))
+    if any(g > 1 for _, g, _, _ in groups_of):
+        by_group = placed.groupBy("pack_name", "_group", "_source").agg(F.sum("n_tokens").cast("double").alias("_own"))
+        whole = by_group.groupBy("pack_name", "_group").agg(F.sum("_own").alias("_sum"))
+        cells = shares.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1))).join(whole, ["pack_name", "_group"]).join(by_group, ["pack_name", "_group", "_source"], "left")
+        earlier = Window.partitionBy("pack_name", "_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)  # one row per group
+        carry = F.coalesce(F.sum(F.coalesce("_own", F.lit(0.0)) - F.col("_share") * F.col("_sum")).over(earlier), F.lit(0.0))
+        cells = cells.withColumn("_carry", carry)
+    else:
+        cells = shares.withColumns({"_group": F.lit(0).cast("long"), "_carry": F.lit(0.0)})
+    cells = cells.select(F.col("pack_name").alias("_p"), F.col("_group").alias("_g"), F.col("_source").alias("_s"), "_share", "_each", "_carry")
+
+    def windows_of(pdf: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pdf.assign(window_no=0)[names_out]
+        each, place = int(targets["_each"].iloc[0]), {s: i for i, s in enumerate(targets["_s"])}
+        target = targets["_share"].to_numpy()
         containers, at = np.unique(pdf["container"], return_inverse=True)
         tokens = np.zeros((len(containers), len(target)))
-        np.add.at(tokens, (at, pdf["_q"].to_numpy()), pdf["n_tokens"].to_numpy())
-        return pdf.assign(window_no=pdf["_group"] * each + deal(tokens, np.array(target), each)[at])[names_out]
+        np.add.at(tokens, (at, pdf["_source"].map(place).to_numpy()), pdf["n_tokens"].to_numpy())
+        dealt = deal(tokens, target, each)
+        sums = np.zeros((each, len(target)))
+        np.add.at(sums, dealt, tokens - target * tokens.sum(axis=1, keepdims=True))
+        rank = np.empty(each, dtype=np.int64)
+        rank[in_order(sums, targets["_carry"].to_numpy())] = np.arange(each)
+        return pdf.assign(window_no=pdf["_group"] * each + rank[dealt][at])[names_out]
 
     names_out = ["pack_name", "window_no", "container", "doc_id", "part", "first_token", "n_tokens"]
     kinds = dict(placed.withColumn("window_no", F.col("_group")).dtypes)
-    return placed.groupBy("pack_name", "_group").applyInPandas(windows_of, ", ".join(f"{c} {kinds[c]}" for c in names_out))
+    out = ", ".join(f"{c} {kinds[c]}" for c in names_out)
+    return placed.groupBy("pack_name", "_group").cogroup(cells.groupBy("_p", "_g")).applyInPandas(windows_of, out)

@@ -51,12 +51,12 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     """Every document encoded and decoded again."""
     docs = table(spark, d, "documents")
     encoder = Encoder().fit(docs)
-    return docs.select("doc_id", encoder.ids(F.col("text")).alias("ids")).select("doc_id", encoder.text(F.col("ids")).alias("text"))
+    return encoder.encode(docs.select("doc_id", "text"), "ids").select("doc_id", encoder.text(F.col("ids")).alias("text"))
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return frozen(docs.select("doc_id", "source", Encoder().fit(docs).sizes(F.col("text")).alias("size")))
+    return frozen(Encoder().fit(docs).encode(docs.select("doc_id", "source", "text"), "size", count=True).drop("text"))
 
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:

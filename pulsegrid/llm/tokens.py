@@ -10,13 +10,15 @@ folded on the spot, so no text is shuffled and no word is left out.
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import os
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Default folder of the vocabulary files; pass ``folder`` to use another.
@@ -24,6 +26,8 @@ FOLDER = os.environ.get("PULSEGRID_TOKENIZERS", "/opt/tokenizers")
 #: Most words kept in the literal dictionary (a bound on what is collected and sent to tasks).
 DICTIONARY = 50_000
 BUCKETS = 8192
+#: Bytes of a word from which its text is encoded with a merge queue.
+LONG = 512
 
 # The splitting pattern of this vocabulary, with white space spelled out as Unicode defines it.
 SPACE = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -90,6 +94,32 @@ def fold_word(word: Column, maps: Column) -> Column:
     return let(F.hex(F.encode(word, "UTF-8")), fold)
 
 
+def merge_queue(word: bytes, rank: dict[bytes, int]) -> list[int]:
+    """The token ids of one word by a queue of its ranked pairs (lowest rank first, then leftmost): n log n steps."""
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    after, before = list(range(1, len(pieces) + 1)), list(range(-1, len(pieces) - 1))
+    queue: list[tuple[int, int, bytes]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] < len(pieces) and (r := rank.get(both := pieces[i] + pieces[after[i]])) is not None:
+            heapq.heappush(queue, (r, i, both))
+
+    for i in range(len(pieces) - 1):
+        offer(i)
+    while queue:
+        _, i, both = heapq.heappop(queue)
+        j = after[i] if pieces[i] else len(pieces)
+        if j >= len(pieces) or pieces[i] + pieces[j] != both:
+            continue  # one of the two was merged since
+        pieces[i], pieces[j] = both, b""
+        after[i] = after[j]
+        if after[i] < len(pieces):
+            before[after[i]] = i
+        offer(before[i])
+        offer(i)
+    return [rank[p] for p in pieces if p]
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order; none for an empty or null text."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), 0)
@@ -99,17 +129,42 @@ class Encoder:
     """A vocabulary as Spark expressions. ``fit`` counts the words of a corpus and folds the frequent ones."""
 
     def __init__(self, name: str = "byte_bpe_50k", folder: str = FOLDER, dictionary: int = DICTIONARY):
-        self.ranks, self.limit, self.frequent = ranks(name, folder), dictionary, {}
+        self.ranks, self.limit, self.frequent, self.longest = ranks(name, folder), dictionary, {}, 0
         self.maps = literal_map({k.hex().upper(): v for k, v in self.ranks.items()}, "int")
 
     def fit(self, documents: DataFrame, text: str = "text") -> Encoder:
         """Fold the most frequent distinct words of the whole corpus once (at most ``dictionary``, by count, then by word)."""
+        seen = Observation()
         words = documents.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        words = words.observe(seen, F.max(F.octet_length("word")).alias("longest"))
         top = words.orderBy(F.desc("n"), "word").limit(self.limit)
+        top = top.filter(F.octet_length("word") <= LONG)
         folded = top.repartition("word").select("word", let(self.maps, lambda m: fold_word(F.col("word"), m)).alias("ids"))
         self.frequent = {r.word: list(r.ids) for r in folded.collect()}
+        self.longest = seen.get["longest"] or 0
         return self
 
+    def encode(self, documents: DataFrame, column: str, count: bool = False, text: str = "text") -> DataFrame:
+        """Add the ids of ``text`` (or, ``count``, their number) as ``column``; texts with a word of over LONG bytes by the merge queue."""
+        folded = self.sizes if count else self.ids
+        if self.longest <= LONG:
+            return documents.withColumn(column, folded(F.col(text)))
+        is_long = F.coalesce(F.col(text).rlike(rf"[^\s]{{{LONG // 4},}}|\s{{{LONG // 4},}}"), F.lit(False))
+        short = documents.filter(~is_long).withColumn(column, folded(F.col(text)))
+        rank = documents.sparkSession.sparkContext.broadcast(self.ranks)  # the vocabulary
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import regex  # only workers that meet such texts need it
+
+            pattern = regex.compile(PATTERN)
+            for pdf in batches:
+                ids = [[i for w in pattern.findall(t) for i in merge_queue(w.encode(), rank.value)] for t in pdf[text]]
+                yield pdf.assign(**{column: [len(x) for x in ids] if count else ids})
+
+        kind = "int" if count else "array<int>"
+        schema = ", ".join(f"`{c}` {t}" for c, t in documents.dtypes) + f", `{column}` {kind}"
+        return short.unionByName(documents.filter(is_long).mapInPandas(run, schema))
+
     def ids(self, text: Column) -> Column:
         """array<int>: the ids of a text, without special tokens; empty for an empty or null text."""
         words = words_of(text)
@@ -143,4 +198,4 @@ class Encoder:
 def encode(documents: DataFrame, spark: SparkSession | None = None, **options) -> DataFrame:
     """doc_id, ids of every document; both an empty and a null text give the empty list. Other columns are ignored."""
     encoder = Encoder(**options).fit(documents)
-    return documents.select("doc_id", encoder.ids(F.col("text")).alias("ids"))
+    return encoder.encode(documents.select("doc_id", "text"), "ids").select("doc_id", "ids")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm import garble
 from pulsegrid.llm.nearest import nearest_in_time
 from pulsegrid.llm.packing import best_fit, pack
-from pulsegrid.llm.tokens import PATTERN, Encoder, encode, ranks  # noqa: F401
+from pulsegrid.llm.tokens import PATTERN, Encoder, encode, merge_queue, ranks
 
 
 def test_nearest(spark):
@@ -32,8 +32,7 @@ TEXTS = ["", None, " ", "a", "Hello world, it's 2024!", " 　  \n\n  b", "žlu
 
 def test_tokens(spark):
     tiktoken = pytest.importorskip("tiktoken")
-    P = pytest.importorskip("public_tokenizers")
-    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks(), special_tokens={})
+    reference = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(), special_tokens={})
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, ids string")
     want = {i: reference.encode_ordinary(t) if t else [] for i, t in enumerate(TEXTS)}
     assert {r.doc_id: r.ids for r in encode(df).collect()} == want  # with the dictionary of frequent words
@@ -41,6 +40,24 @@ def test_tokens(spark):
     rows = df.select("doc_id", few.ids(F.col("text")).alias("i"), few.sizes(F.col("text")).alias("n"), few.text(few.ids(F.col("text"))).alias("t")).collect()
     assert all(r.i == want[r.doc_id] and r.n == len(r.i) and r.t == (TEXTS[r.doc_id] or "") for r in rows)
     assert encode(df.limit(0)).count() == 0
+    blob = "".join(np.random.default_rng(9).choice(list("abcxyz0.-é"), 3000)) + "q" * 20000  # beyond LONG: by the merge queue
+    long = df.unionByName(spark.createDataFrame([(99, blob + " end", "x")], df.schema))
+    want[99] = reference.encode_ordinary(blob + " end")
+    assert {r.doc_id: r.ids for r in encode(long).collect()} == want
+
+
+def test_merge_queue():
+    """The queue gives what merging the leftmost pair of the lowest rank again and again gives."""
+    rank, rng = ranks(), np.random.default_rng(8)
+    for n in (1, 2, 5, 40, 300):
+        word = "".join(rng.choice(list("aabeth é"), n)).encode()
+        pieces = [word[i : i + 1] for i in range(len(word))]
+        while True:
+            best = min(((rank[pieces[i] + pieces[i + 1]], i) for i in range(len(pieces) - 1) if pieces[i] + pieces[i + 1] in rank), default=None)
+            if best is None:
+                break
+            pieces[best[1] : best[1] + 2] = [pieces[best[1]] + pieces[best[1] + 1]]
+        assert merge_queue(word, rank) == [rank[p] for p in pieces]
 
 
 def test_best_fit():
@@ -56,6 +73,24 @@ def test_best_fit():
     assert len(fill) <= max(-(-sizes.sum() // 512), (sizes > 256).sum()) * 1.01 + 1
 
 
+def test_pack_groups(spark, monkeypatch):
+    """With several groups every window stays near the corpus' mixture, and the running deficit carries over windows and groups."""
+    from pulsegrid.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP", 4000)
+    rng = np.random.default_rng(7)
+    rows = [(i, "abcde"[int(k)], int(n)) for i, (k, n) in enumerate(zip(rng.choice(5, 20000, p=[0.5, 0.2, 0.15, 0.1, 0.05]), rng.integers(1, 90, 20000)))]
+    items = spark.createDataFrame(rows, "doc_id long, source string, size int")
+    p = pack(items, spark.createDataFrame([("s", 200)], "pack_name string, capacity_tokens int"), 32).toPandas()
+    assert len(p) == 20000 and p.groupby("container").n_tokens.sum().max() <= 200 and p.groupby("container").window_no.nunique().max() == 1
+    p = p.assign(source=p.doc_id.map({i: s for i, s, _ in rows}))
+    target = p.groupby("source").n_tokens.sum() / p.n_tokens.sum()
+    by_window = p.pivot_table(index="window_no", columns="source", values="n_tokens", aggfunc="sum", fill_value=0).sort_index()
+    assert ((by_window.div(by_window.sum(axis=1), axis=0) - target).abs() < 0.02).all().all()
+    running = (by_window - by_window.sum(axis=1).to_frame().to_numpy() * target.to_numpy()).cumsum().abs().to_numpy()
+    assert running.max() < by_window.sum(axis=1).mean()  # of 20 windows a group never owes one
+
+
 def test_pack(spark):
     rng = np.random.default_rng(2)
     rows = [(i, ["a", "b", None][i % 3], int(s)) for i, s in enumerate(rng.integers(1, 90, 3000))] + [(5000 + i, "a", 15) for i in range(1500)] + [(9000, "b", 950), (9001, "b", None), (9002, "b", 0)]
@@ -69,8 +104,10 @@ def test_pack(spark):
         assert p.container.nunique() <= -(-sum(sizes.values()) // cap) * 1.02 + 1
         big = p.sort_values(["doc_id", "part"])
         assert (big.groupby("doc_id").n_tokens.cumsum() - big.n_tokens == big.first_token).all()
-        share = p.assign(chair=p.doc_id.between(5000, 6499)).groupby("window_no").apply(lambda w: (w.chair * w.n_tokens).sum() / w.n_tokens.sum(), include_groups=False)
-        assert share.max() - share.min() < 0.25
+        p = p.assign(source=p.doc_id.map({i: s or "" for i, s, _ in rows}))
+        target = p.groupby("source").n_tokens.sum() / p.n_tokens.sum()
+        by_window = p.pivot_table(index="window_no", columns="source", values="n_tokens", aggfunc="sum", fill_value=0)
+        assert ((by_window.div(by_window.sum(axis=1), axis=0) - target).abs() < 1 / 16).all().all()  # one container of a window
     assert pack(spark.createDataFrame([], "doc_id long, source string, size int"), spark.createDataFrame([("s", 100)], "pack_name string, capacity_tokens int")).count() == 0
 
 
