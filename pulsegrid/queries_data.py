@@ -9,7 +9,7 @@ from pulsegrid.operators.islands import periods_and_gaps
 from pulsegrid.operators.outliers import coordinate_outliers, signal_outliers
 from pulsegrid.operators.quantities import bit_volts
 from pulsegrid.operators.regrid import counter_increments, distribute, mark_uncovered
-from pulsegrid.plans.ordered import bucketed_rank
+from pulsegrid.plans.ordered import scan
 from pulsegrid.session import table
 
 CONTINUOUS = ("CSC", "NCS")
@@ -68,25 +68,31 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def channel_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Every continuous channel on its regular grid: session_id, channelnumber, slot, samples (delivered), covered.
+    """Every continuous channel on its regular grid: session_id, channelnumber, slot, amount (valid samples), covered, filled.
 
-    Each record's end is a reading of the channel's counter of records, at the slot whose start is nearest to the record;
-    an increment reaches back over one slot at most, so what no record covers stays marked.
+    The channel's counter is the number of valid samples delivered so far, read at the end of each record, in slots since the
+    channel's first record; it starts anew where the acquisition does (records counted again from 0 are a reset). Each increment
+    is spread over the slots that its record's time overlaps; a slot that a record covers for the most part is filled.
     """
     keys = ["session_id", "channelnumber"]
-    records = table(spark, d, "nlx_csc").filter("timestamp is not null").select(*keys, "timestamp", "rec_id")
+    records = table(spark, d, "nlx_csc").filter("timestamp is not null").select(*keys, "timestamp", "rec_id", F.coalesce("numvalidsamples", F.lit(0)).alias("valid"))
     origin = records.groupBy(*keys).agg(F.min("timestamp").alias("t0"))
     rate = channel_headers(spark, d).filter("rate is not null").select(*keys, "rate")
-    at = F.floor((F.col("timestamp") - F.col("t0")) * F.col("rate") / F.lit(512e6) + F.lit(0.5)).cast("long")
-    slots = records.join(origin.join(rate, keys), keys).select(*keys, at.alias("slot")).groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("records"))
-    readings = bucketed_rank(slots, keys, ["slot"], 4096, "counter").withColumns({"counter": F.col("counter") + 1, "end": F.col("slot") + 1})
-    cells = distribute(counter_increments(readings, keys, "end", "counter", 4096, max_span=F.lit(1)), keys, F.lit(0), F.lit(1))
+    at = (F.col("timestamp") - F.col("t0")) * F.col("rate") / F.lit(512e6)
+    timed = records.join(origin.join(rate, keys), keys).select(*keys, "rec_id", "valid", at.alias("begin"), (at + 1).alias("end"))
+    readings = scan(timed, keys, ["begin", "rec_id"], 4096, counter=("sum", "valid"))
+    cells = distribute(counter_increments(readings, keys, "end", "counter", 4096, max_span=F.lit(1.0), begins="begin"), keys, F.lit(0), F.lit(1))
     return mark_uncovered(cells, keys, first=0).withColumnRenamed("cell", "slot")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Slots of a continuous channel's regular series that no record fills."""
-    return channel_grid(spark, d).filter("covered = 0").select("session_id", "channelnumber", "slot")
+    return channel_grid(spark, d).filter("not filled").select("session_id", "channelnumber", "slot")
+
+
+def p5_series(spark: SparkSession, d: str) -> DataFrame:
+    """The regular series of every continuous channel: valid samples by proportional overlap, share covered, null and 0 where nothing is."""
+    return channel_grid(spark, d).select("session_id", "channelnumber", "slot", F.round("amount", 3).alias("amount"), F.round("covered", 6).alias("covered"))
 
 
 P1_SQL = r"""
@@ -125,5 +131,15 @@ g AS (SELECT session_id, channelnumber, unnest(generate_series(0, max(slot))) AS
 SELECT CAST(session_id AS BIGINT) AS session_id, channelnumber, slot FROM g ANTI JOIN s USING (session_id, channelnumber, slot)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_all, p3_found, p4_found, p5_found)}
-ORACLES: dict[str, str] = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
+P5_SERIES_SQL = """
+WITH h AS (SELECT session_id, channelnumber, arg_min(samplingfrequency, header_id) AS f FROM nlx_header WHERE upper(filetype) IN ('CSC', 'NCS') AND samplingfrequency > 0 GROUP BY ALL),
+s AS (SELECT c.session_id, c.channelnumber, coalesce(numvalidsamples, 0) AS v, (timestamp - min(timestamp) OVER (PARTITION BY c.session_id, c.channelnumber)) * f / 512e6 AS a FROM nlx_csc c JOIN h USING (session_id, channelnumber) WHERE timestamp IS NOT NULL),
+e AS (SELECT session_id, channelnumber, unnest([CAST(floor(a) AS BIGINT), CAST(floor(a) AS BIGINT) + 1]) AS slot, a, v FROM s),
+p AS (SELECT *, least(a + 1, slot + 1) - greatest(a, slot) AS part FROM e),
+c AS (SELECT session_id, channelnumber, slot, sum(v * part) AS amount, sum(part) AS covered, max(CASE WHEN a <= slot THEN part >= 0.5 ELSE part > 0.5 END) AS filled FROM p WHERE part > 0 GROUP BY ALL),
+g AS (SELECT session_id, channelnumber, unnest(generate_series(0, max(slot) FILTER (filled))) AS slot FROM c GROUP BY session_id, channelnumber)
+SELECT CAST(session_id AS BIGINT) AS session_id, channelnumber, slot, round(amount, 3) AS amount, round(coalesce(covered, 0), 6) AS covered FROM g LEFT JOIN c USING (session_id, channelnumber, slot)
+"""
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_all, p3_found, p4_found, p5_found, p5_series)}
+ORACLES: dict[str, str] = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_series": P5_SERIES_SQL}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.units import UnitError, convert, parse_quantities, parse_unit
 from pulsegrid.operators.islands import periods_and_gaps
-from pulsegrid.operators.outliers import coordinate_outliers, signal_outliers
+from pulsegrid.operators.outliers import coordinate_outliers, hampel, signal_outliers
 from pulsegrid.operators.quantities import bit_volts
 from pulsegrid.operators.regrid import counter_increments, distribute, mark_uncovered
 from pulsegrid.plans.ordered import bucketed_lag, bucketed_rank, chunk_with_halo
@@ -85,11 +85,28 @@ def test_grid(spark):
     got = {r.cell: (round(r.amount, 6), round(r.covered, 6)) for r in cells.collect()}
     assert got == {0: (10.0, 1.0), 1: (3.333333, 1.0), 2: (1.666667, 1.0), 3: (0.0, 1.0)}
     short = distribute(counter_increments(readings, ["k"], "t", "c", 16, max_span=F.lit(5)), ["k"], F.lit(0), F.lit(5))
-    marked = {r.cell: r.covered for r in mark_uncovered(short.filter("k = 1"), ["k"], block=2, first=0).collect()}
+    marked = {r.cell: r.covered for r in mark_uncovered(short.filter("k = 1"), ["k"], block=2, first=0).collect()}  # every increment fills its cell
     assert [c for c in sorted(marked) if marked[c] == 0] == [0, 2, 3, 5, 6]
     assert mark_uncovered(short.limit(0), ["k"]).count() == 0
 
 
+def test_increments_with_a_known_beginning(spark):
+    """Uneven readings that overlap: each is spread over its own time; halves go to the cell that they begin before."""
+    readings = spark.createDataFrame([(1, 0.0, 1.0, 8), (1, 1.25, 2.25, 16), (1, 2.5, 3.5, 20), (1, 5.5, 6.5, 2)], "k int, a double, z double, c long")
+    inc = counter_increments(readings, ["k"], "z", "c", 16, max_span=F.lit(1.0), begins="a")
+    assert sorted((r.t0, r.amount, r.reset) for r in inc.collect()) == [(0.0, 8.0, False), (1.25, 8.0, False), (2.5, 4.0, False), (5.5, 2.0, True)]
+    got = {r.cell: (r.amount, r.covered, r.filled) for r in mark_uncovered(distribute(inc, ["k"], F.lit(0), F.lit(1)), ["k"], first=0).collect()}
+    assert got == {0: (8.0, 1.0, True), 1: (6.0, 0.75, True), 2: (4.0, 0.75, False), 3: (2.0, 0.5, True), 4: (None, 0.0, False), 5: (1.0, 0.5, False), 6: (1.0, 0.5, True)}
+
+
+def test_hampel():
+    x = np.array([0, 10, 20, 30, 40, 50, 400, 70, 80, 90, 100, 110, 120, 130.0])
+    assert np.flatnonzero(hampel(x, 5.0)).tolist() == [6]  # a path that moves has a spread of its own
+    flat = np.array([5.0] * 8 + [9.0] + [5.0] * 8)
+    assert np.flatnonzero(hampel(flat, 3.0)).tolist() == [8] and not hampel(flat, 4.0).any()  # at rest the floor decides
+    assert not hampel(np.array([1.0]), 1.0).any() and len(hampel(np.array([]), 1.0)) == 0
+
+
 DIODE = "rec_id long, session_id long, timestamp long, xfront short, yfront short, t string"
 
 
