@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -226,6 +227,117 @@ def coherence(df: DataFrame, keys: Sequence[str], x: str, y: str, fs: float) ->
     return per_record(pair.filter(F.size("_xy") % 2 == 0), keys, "_xy", one, "freq double, coherence double, phase double")
 
 
+def coherogram(df: DataFrame, keys: Sequence[str], x: str, y: str, fs: float, window: int, shift: int) -> DataFrame:
+    """Multitaper coherence of sliding windows of two records in a row (cut to the shorter one), exploded before the kernel."""
+    n = F.least(F.size(x), F.size(y))
+    wins = df.filter(n >= window).select(*keys, x, y, F.explode(F.sequence(F.lit(0), n - window, F.lit(shift))).alias("w"))
+    cut = wins.select(*keys, "w", *[F.slice(c, F.col("w") + 1, window).alias(c) for c in (x, y)])
+    return coherence(cut, [*keys, "w"], x, y, fs)
+
+
+@dataclass(frozen=True)
+class MultitaperOptions:
+    """Settings of a spectrum: bandwidth (Hz), number of tapers, pass band, padding, error bars (none, theory, jackknife) and their p-value."""
+
+    bandwidth: float | None = None
+    ntapers: int | None = None
+    fpass: tuple[float, float] | None = None
+    pad: int = 0
+    error: str = "none"
+    pvalue: float = 0.05
+
+    def bandwidth_range(self, n: int, fs: float) -> tuple[float, float]:
+        return fs / n, fs / 2 * (n - 1) / n
+
+    def validate(self, n: int, fs: float, correct: bool = False) -> MultitaperOptions:
+        """These settings for records of n samples; what lies outside the limits is an error, or with ``correct`` moved to them."""
+        lo, hi = self.bandwidth_range(n, fs)
+        bandwidth = min(3.0, (n - 1) / 2) * fs / n if self.bandwidth is None else self.bandwidth
+        most = max(1, math.floor(2 * bandwidth * n / fs - 1))
+        ntapers = most if self.ntapers is None else self.ntapers
+        fits = lo <= bandwidth <= hi and 1 <= ntapers <= most
+        if self.error not in ("none", "theory", "jackknife") or not 0 < self.pvalue < 1 or not (fits or correct):
+            raise ValueError(f"invalid settings for {n} samples at {fs} Hz: {self}")
+        bandwidth = min(max(bandwidth, lo), hi)
+        return replace(self, bandwidth=bandwidth, ntapers=min(max(ntapers, 1), max(1, math.floor(2 * bandwidth * n / fs - 1))))
+
+    def nfft(self, n: int) -> int:
+        return max(2 ** (math.ceil(math.log2(n + 1)) + self.pad - 1), n)
+
+
+def frequencies(df: DataFrame, fs: float, options: MultitaperOptions) -> DataFrame:
+    """Each row (with its number of samples ``n``) for every frequency of its spectrum within the pass band, as ``freq``."""
+    power = F.ceil(F.log2(F.col("n") + 1.0)) + (options.pad - 1)
+    nfft = F.greatest(F.pow(F.lit(2.0), power.cast("double")).cast("int"), F.col("n"))
+    lo, hi = options.fpass or (0.0, fs / 2)
+    d = df.withColumn("_nfft", nfft).withColumn("_f", F.explode(F.sequence(F.lit(0), F.floor(F.col("_nfft") / 2).cast("int"))))
+    return d.withColumn("freq", F.col("_f") * fs / F.col("_nfft")).filter(F.col("freq").between(lo, hi)).drop("_f", "_nfft")
+
+
+def _below(f, p: float, lo: float, hi: float) -> float:
+    """Where an increasing distribution function reaches p, by bisection."""
+    while f(hi) < p:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if f(mid) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
+@lru_cache(maxsize=256)
+def chi2_quantile(p: float, dof: int) -> float:
+    """Quantile of the chi-square distribution with an even number of degrees of freedom (a finite sum of Poisson terms)."""
+    if dof % 2:
+        raise ValueError("even degrees of freedom only")
+    tail = lambda x: sum(math.exp(j * math.log(x / 2) - x / 2 - math.lgamma(j + 1)) for j in range(dof // 2)) if x > 0 else 1.0
+    return _below(lambda x: 1 - tail(x), p, 0.0, 1.0)
+
+
+@lru_cache(maxsize=256)
+def t_quantile(p: float, dof: int) -> float:
+    """Quantile (p > 0.5) of Student's t, from its finite trigonometric sums."""
+
+    def cdf(t: float) -> float:
+        a, c = math.atan(t / math.sqrt(dof)), math.cos(math.atan(t / math.sqrt(dof))) ** 2
+        term, total = 1.0, 0.0
+        for j in range(dof // 2 if dof % 2 == 0 else (dof - 1) // 2):
+            total += term
+            term *= c * ((2 * j + 1) / (2 * j + 2) if dof % 2 == 0 else (2 * j + 2) / (2 * j + 3))
+        inside = math.sin(a) * total if dof % 2 == 0 else 2 / math.pi * (a + math.sin(a) * math.cos(a) * total)
+        return 0.5 + inside / 2
+
+    return _below(cdf, p, 0.0, 1.0)
+
+
+def spectrum_error(df: DataFrame, keys: Sequence[str], column: str, fs: float, options: MultitaperOptions) -> DataFrame:
+    """Multitaper spectrum with its error bars: keys, freq, power, lower, upper.
+
+    ``theory``: power is chi-square with two degrees of freedom a taper; ``jackknife``: spread of the log power without one taper
+    each, times a quantile of t; ``none``: nulls.
+    """
+
+    def one(x: np.ndarray) -> dict:
+        own = options.validate(len(x), fs, correct=True)
+        nfft = own.nfft(len(x))
+        J = np.fft.fft(tapers(len(x), own.bandwidth * len(x) / fs, own.ntapers) * math.sqrt(fs) * (x - x.mean()), nfft, axis=1) / fs
+        f = fs * np.arange(nfft) / nfft
+        lo, hi = own.fpass or (0.0, fs / 2)
+        keep = (f >= lo) & (f <= hi)
+        p = 2 * np.abs(J[:, keep]) ** 2
+        power, k = p.mean(axis=0), len(p)
+        lower = upper = [None] * len(power)
+        if own.error == "theory":
+            lower, upper = (2 * k / chi2_quantile(1 - own.pvalue / 2, 2 * k) * power).tolist(), (2 * k / chi2_quantile(own.pvalue / 2, 2 * k) * power).tolist()
+        elif own.error == "jackknife" and k > 1:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                left_out = np.log((p.sum(axis=0) - p) / (k - 1))
+                spread = t_quantile(1 - own.pvalue / 2, k - 1) * np.sqrt((k - 1) / k * ((left_out - left_out.mean(axis=0)) ** 2).sum(axis=0))
+            lower, upper = (power * np.exp(-spread)).tolist(), (power * np.exp(spread)).tolist()
+        return {"freq": f[keep].tolist(), "power": power.tolist(), "lower": lower, "upper": upper}
+
+    return per_record(df, keys, column, one, "freq double, power double, lower double, upper double")
+
+
 def radon(image: np.ndarray, theta: np.ndarray, rho: np.ndarray, dx: float = 1.0, dy: float = 1.0, method: str = "sum") -> np.ndarray:
     """Line integrals x cos(theta) + y sin(theta) = rho of an image (rows = x, columns = y, centred), linear interpolation."""
     nx, ny = image.shape

@@ -192,3 +192,37 @@ def cross_correlation(x: DataFrame, y: DataFrame, keys: Sequence[str], maxlag: i
     norms = y.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("y") * F.col("y")).alias("_b2")).join(x.groupBy(*keys).agg(F.sum(F.col("y") * F.col("y")).alias("_a2")), list(keys))
     by = F.col("_n") if scale == "biased" else F.sqrt(F.col("_a2") * F.col("_b2"))
     return out.join(norms, list(keys)).select(*keys, "lag", (F.col("c") / by).alias("c"))
+
+
+def smooth_axes(df: DataFrame, keys: Sequence[str], axes: Sequence[str], kernels: Sequence[str], bandwidths: Sequence[float], value: str = "y") -> DataFrame:
+    """Kernel smoothing of a value on an n-d grid, one kernel for each axis (whole-number columns): unbiased, a null or absent cell stays so.
+
+    The kernel is the product of the axes' kernels, so each axis is one pass over sums of weight x value and of weight: every cell is
+    sent to the cells within the kernel's reach, and partial sums are combined before the shuffle.
+    """
+    d = df.filter(F.col(value).isNotNull()).select(*keys, *axes, F.col(value).cast("double").alias("_num"), F.lit(1.0).alias("_den"))
+    for axis, kernel, bandwidth in zip(axes, kernels, bandwidths):
+        weights = kernel_weights(kernel, bandwidth)
+        half = len(weights) // 2
+        steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in zip(range(-half, half + 1), weights) if w])
+        d = d.withColumn("_s", F.explode(steps)).withColumn(axis, F.col(axis) + F.col("_s.k"))
+        d = d.groupBy(*keys, *axes).agg(F.sum(F.col("_num") * F.col("_s.w")).alias("_num"), F.sum(F.col("_den") * F.col("_s.w")).alias("_den"))
+    known = df.filter(F.col(value).isNotNull())
+    return known.join(d, [*keys, *axes]).withColumn("smooth", F.col("_num") / F.col("_den")).drop("_num", "_den")
+
+
+def cross_correlation_2d(x: DataFrame, y: DataFrame, keys: Sequence[str], maxlag: tuple[int, int], scale: str = "none", remove_mean: bool = False) -> DataFrame:
+    """c[p, q] = sum of x[i + p, j + q] y[i, j] of two grids (i, j, y): keys, lag_i, lag_j, c; missing cells take no part."""
+    centre = lambda d: d.join(d.groupBy(*keys).agg(F.avg("y").alias("_m")), list(keys)).withColumn("y", F.col("y") - F.col("_m")).drop("_m") if remove_mean else d
+    lags = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in range(-maxlag[0], maxlag[0] + 1) for q in range(-maxlag[1], maxlag[1] + 1)])
+    l = centre(y).select(*keys, "i", "j", F.col("y").alias("_b"), F.explode(lags).alias("_l"))
+    l = l.select(*keys, (F.col("i") + F.col("_l.p")).alias("i"), (F.col("j") + F.col("_l.q")).alias("j"), "_b", F.col("_l.p").alias("lag_i"), F.col("_l.q").alias("lag_j"))
+    d = l.join(centre(x).select(*keys, "i", "j", F.col("y").alias("_a")), [*keys, "i", "j"])
+    s = {"none": F.sum(F.col("_a") * F.col("_b")), "unbiased": F.avg(F.col("_a") * F.col("_b")), "pearson": F.corr("_a", "_b")}[scale]
+    return d.groupBy(*keys, "lag_i", "lag_j").agg(s.alias("c"))
+
+
+def local_integrate(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """Sum over the n samples around each one (one more before than after for an even n): column ``total``."""
+    before, after = n // 2, (n - 1) // 2
+    return near(df, keys, "i", before, after, total=lambda w: F.sum("y").over(w.rowsBetween(-before, after)))

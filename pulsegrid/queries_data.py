@@ -92,7 +92,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_series(spark: SparkSession, d: str) -> DataFrame:
     """The regular series of every continuous channel: valid samples by proportional overlap, share covered, null and 0 where nothing is."""
-    return channel_grid(spark, d).select("session_id", "channelnumber", "slot", F.round("amount", 3).alias("amount"), F.round("covered", 6).alias("covered"))
+    return channel_grid(spark, d).select("session_id", "channelnumber", "slot", F.round("amount", 6).alias("amount"), F.round("covered", 6).alias("covered"))
 
 
 P1_SQL = r"""
@@ -138,7 +138,7 @@ e AS (SELECT session_id, channelnumber, unnest([CAST(floor(a) AS BIGINT), CAST(f
 p AS (SELECT *, least(a + 1, slot + 1) - greatest(a, slot) AS part FROM e),
 c AS (SELECT session_id, channelnumber, slot, sum(v * part) AS amount, sum(part) AS covered, max(CASE WHEN a <= slot THEN part >= 0.5 ELSE part > 0.5 END) AS filled FROM p WHERE part > 0 GROUP BY ALL),
 g AS (SELECT session_id, channelnumber, unnest(generate_series(0, max(slot) FILTER (filled))) AS slot FROM c GROUP BY session_id, channelnumber)
-SELECT CAST(session_id AS BIGINT) AS session_id, channelnumber, slot, round(amount, 3) AS amount, round(coalesce(covered, 0), 6) AS covered FROM g LEFT JOIN c USING (session_id, channelnumber, slot)
+SELECT CAST(session_id AS BIGINT) AS session_id, channelnumber, slot, round(amount, 6) AS amount, round(coalesce(covered, 0), 6) AS covered FROM g LEFT JOIN c USING (session_id, channelnumber, slot)
 """
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_all, p3_found, p4_found, p5_found, p5_series)}

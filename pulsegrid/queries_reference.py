@@ -108,36 +108,25 @@ ABC = "(SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)"
 
 # Segments
 
-query("seg_merge", lambda s, d: S.merge(A(s, d), KEY), f"SELECT * FROM {M('a')}", SS)
-query("seg_merge_nonstrict", lambda s, d: S.merge(A(s, d), KEY, strict=False), f"SELECT * FROM {M('a', op='>=')}", SS)
-query("seg_join_gap", lambda s, d: S.join_gaps(A(s, d), KEY, 900.0), f"SELECT * FROM {M('a', 900)}", SS)
 query("seg_union", lambda s, d: S.union([A(s, d), Bq(s, d), Cq(s, d)], KEY), f"SELECT * FROM {M(ABC)}", SS)
-query("seg_invert", lambda s, d: S.invert(A(s, d), KEY).filter("start > double('-infinity') and stop < double('infinity')"), f"SELECT * FROM {INV('a')} WHERE isfinite(start) AND isfinite(stop)", SS)
 query("seg_intersection", lambda s, d: S.intersection([A(s, d), Bq(s, d)], KEY), f"SELECT * FROM {M(AND(M('a'), M('b')))}", SS)
 query("seg_intersection3", lambda s, d: S.intersection([A(s, d), Bq(s, d), Cq(s, d)], KEY), f"SELECT * FROM {M(AND(AND(M('a'), M('b')), M('c')))}", SS)
 query("seg_exclusive", lambda s, d: S.exclusive([A(s, d), Bq(s, d), Cq(s, d)], KEY), f"SELECT * FROM {M(AND(AND(M('a'), INV('b')), INV('c')))}", SS)
 query("seg_xor", lambda s, d: S.difference([A(s, d), Bq(s, d)], KEY), f"SELECT * FROM {M('(SELECT * FROM ' + AND(M('a'), INV('b')) + ' UNION ALL SELECT * FROM ' + AND(M('b'), INV('a')) + ')')}", SS)
-query("seg_span", lambda s, d: S.span(A(s, d), KEY), "SELECT k, min(start) AS start, max(stop) AS stop FROM a GROUP BY k", SS)
-query("seg_has_overlap", lambda s, d: S.has_overlap(A(s, d), KEY), "SELECT k, bool_or(n < stop) AS has_overlap FROM (SELECT *, lead(start) OVER (PARTITION BY k ORDER BY start, stop) AS n FROM a) GROUP BY k")
-query("seg_intervals", lambda s, d: S.intervals(S.merge(A(s, d), KEY), KEY), f"SELECT *, lead(start) OVER (PARTITION BY k ORDER BY start) - stop AS interval FROM {M('a')}", SS + " interval")
-query("seg_scale", lambda s, d: S.scale(A(s, d), 3.0), "SELECT k, start - 0.5 * 2 * (stop - start) AS start, stop + 0.5 * 2 * (stop - start) AS stop FROM a", SS)
-query("seg_offset", lambda s, d: S.offset(A(s, d), 12.5), "SELECT k, start + 12.5 AS start, stop + 12.5 AS stop FROM a", SS)
-query("seg_split_tumbling", lambda s, d: S.split(S.merge(A(s, d), KEY), 500.0), f"SELECT k, start + 500 * j AS start, start + 500 * j + 500 AS stop FROM {M('a')}, generate_series(0, 100000) g(j) WHERE j < floor((stop - start) / 500 + 1e-7)", SS)
-query("seg_split_sliding", lambda s, d: S.split(S.merge(A(s, d), KEY), 400.0, 0.25), f"SELECT k, start + 300 * j AS start, start + 300 * j + 400 AS stop FROM {M('a')}, generate_series(0, 100000) g(j) WHERE j < floor((stop - start - 100) / 300 + 1e-7)", SS)
-# The operators on one set of segments over the windows of all events
+# Operators on one set of segments: the windows of all events
 every = lambda s, d: ev(s, d).select("k", (F.col("t") - 600.0).alias("start"), (F.col("t") + 600.0).alias("stop"))
 EVERY = "(SELECT k, t - 600 AS start, t + 600 AS stop FROM ev)"
-query("seg_merge_all", lambda s, d: S.merge(every(s, d), KEY), f"SELECT * FROM {M(EVERY)}", SS)
-query("seg_merge_nonstrict_all", lambda s, d: S.merge(every(s, d), KEY, strict=False), f"SELECT * FROM {M(EVERY, op='>=')}", SS)
-query("seg_join_gap_all", lambda s, d: S.join_gaps(every(s, d), KEY, 900.0), f"SELECT * FROM {M(EVERY, 900)}", SS)
-query("seg_invert_all", lambda s, d: S.invert(every(s, d), KEY).filter("start > double('-infinity') and stop < double('infinity')"), f"SELECT * FROM {INV(EVERY)} WHERE isfinite(start) AND isfinite(stop)", SS)
-query("seg_span_all", lambda s, d: S.span(every(s, d), KEY), f"SELECT k, min(start) AS start, max(stop) AS stop FROM {EVERY} GROUP BY k", SS)
-query("seg_has_overlap_all", lambda s, d: S.has_overlap(every(s, d), KEY), f"SELECT k, bool_or(n < stop) AS has_overlap FROM (SELECT *, lead(start) OVER (PARTITION BY k ORDER BY start, stop) AS n FROM {EVERY}) GROUP BY k")
-query("seg_intervals_all", lambda s, d: S.intervals(S.merge(every(s, d), KEY), KEY), f"SELECT *, lead(start) OVER (PARTITION BY k ORDER BY start) - stop AS interval FROM {M(EVERY)}", SS + " interval")
-query("seg_scale_all", lambda s, d: S.scale(every(s, d), 3.0), f"SELECT k, start - 0.5 * 2 * (stop - start) AS start, stop + 0.5 * 2 * (stop - start) AS stop FROM {EVERY}", SS)
-query("seg_offset_all", lambda s, d: S.offset(every(s, d), 12.5), f"SELECT k, start + 12.5 AS start, stop + 12.5 AS stop FROM {EVERY}", SS)
-query("seg_split_tumbling_all", lambda s, d: S.split(S.merge(every(s, d), KEY), 500.0), f"SELECT k, start + 500 * j AS start, start + 500 * j + 500 AS stop FROM (SELECT *, unnest(range(CAST(floor((stop - start) / 500 + 1e-7) AS BIGINT))) AS j FROM {M(EVERY)})", SS)
-query("seg_split_sliding_all", lambda s, d: S.split(S.merge(every(s, d), KEY), 400.0, 0.25), f"SELECT k, start + 300 * j AS start, start + 300 * j + 400 AS stop FROM (SELECT *, unnest(range(CAST(floor((stop - start - 100) / 300 + 1e-7) AS BIGINT))) AS j FROM {M(EVERY)})", SS)
+query("seg_merge", lambda s, d: S.merge(every(s, d), KEY), f"SELECT * FROM {M(EVERY)}", SS)
+query("seg_merge_nonstrict", lambda s, d: S.merge(every(s, d), KEY, strict=False), f"SELECT * FROM {M(EVERY, op='>=')}", SS)
+query("seg_join_gap", lambda s, d: S.join_gaps(every(s, d), KEY, 900.0), f"SELECT * FROM {M(EVERY, 900)}", SS)
+query("seg_invert", lambda s, d: S.invert(every(s, d), KEY), f"SELECT * FROM {INV(EVERY)}", SS)
+query("seg_span", lambda s, d: S.span(every(s, d), KEY), f"SELECT k, min(start) AS start, max(stop) AS stop FROM {EVERY} GROUP BY k", SS)
+query("seg_has_overlap", lambda s, d: S.has_overlap(every(s, d), KEY), f"SELECT k, bool_or(n < stop) AS has_overlap FROM (SELECT *, lead(start) OVER (PARTITION BY k ORDER BY start, stop) AS n FROM {EVERY}) GROUP BY k")
+query("seg_intervals", lambda s, d: S.intervals(S.merge(every(s, d), KEY), KEY), f"SELECT *, lead(start) OVER (PARTITION BY k ORDER BY start) - stop AS interval FROM {M(EVERY)}", SS + " interval")
+query("seg_scale", lambda s, d: S.scale(every(s, d), 3.0), f"SELECT k, start - 0.5 * 2 * (stop - start) AS start, stop + 0.5 * 2 * (stop - start) AS stop FROM {EVERY}", SS)
+query("seg_offset", lambda s, d: S.offset(every(s, d), 12.5), f"SELECT k, start + 12.5 AS start, stop + 12.5 AS stop FROM {EVERY}", SS)
+query("seg_split_tumbling", lambda s, d: S.split(S.merge(every(s, d), KEY), 500.0), f"SELECT k, start + 500 * j AS start, start + 500 * j + 500 AS stop FROM (SELECT *, unnest(range(CAST(floor((stop - start) / 500 + 1e-7) AS BIGINT))) AS j FROM {M(EVERY)})", SS)
+query("seg_split_sliding", lambda s, d: S.split(S.merge(every(s, d), KEY), 400.0, 0.25), f"SELECT k, start + 300 * j AS start, start + 300 * j + 400 AS stop FROM (SELECT *, unnest(range(CAST(floor((stop - start - 100) / 300 + 1e-7) AS BIGINT))) AS j FROM {M(EVERY)})", SS)
 query("seg_contains_semi", lambda s, d: S.contains(ev(s, d), Bq(s, d), KEY, 900.0), "SELECT * FROM ev WHERE EXISTS (SELECT 1 FROM b WHERE b.k = ev.k AND t >= start AND t < stop)", "t")
 query("seg_contains_anti", lambda s, d: S.contains(ev(s, d), Bq(s, d), KEY, 900.0, anti=True), "SELECT * FROM ev WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k = ev.k AND t >= start AND t < stop)", "t")
 query("seg_count_index", lambda s, d: S.count_in(ev(s, d), S.merge(Bq(s, d), KEY), KEY, 1000.0, ("t", "event_id")), f"""SELECT m.k, m.start, m.stop, count(e.i) AS n, coalesce(min(e.i), -1) AS first, coalesce(max(e.i), -1) AS last FROM {M('b')} m
@@ -224,8 +213,7 @@ CROSS = f"({N} / (100 * T) - p1 * p0)"
 FORMULAS = {"none": N, "coef": f"{N} / nv", "rate": f"{N} / (nv * 100)", "product density": f"{N} / (100 * T)", "cross covariance": CROSS, "standard cross covariance": f"sqrt(100 * T / (p1 * p0)) * {CROSS}", "zscore": f"{CROSS} / (p1 * p0 / (100 * T))"}
 for norm, formula in FORMULAS.items():
     query(f"peth_{norm.replace(' ', '_')}", lambda s, d, norm=norm: E.peri_event_histogram(X(s, d), R(s, d), KEY, -600.0, 600.0, 12, norm), PETH.format(formula), "value", 4 if norm == "zscore" else 9)
-query("ev_density", lambda s, d: E.density(ev(s, d), KEY, 0.0, 86400.0 * 10, 101, 7200.0), f"SELECT k, i, coalesce(sum(exp(-0.5 * pow((8640.0 * i - t) / 7200, 2))) FILTER (abs(8640.0 * i - t) <= 8 * 7200), 0) / (count(*) * 7200 * {math.sqrt(TAU)!r}) AS density FROM ev, (SELECT CAST(b AS INT) AS i FROM range(101) t(b)) GROUP BY ALL", "density", 12)
-query("ev_density_all", lambda s, d: E.density(ev(s, d), KEY, 0.0, 86400.0 * 30, 301, 7200.0), f"SELECT k, i, coalesce(sum(exp(-0.5 * pow((8640.0 * i - t) / 7200, 2))) FILTER (abs(8640.0 * i - t) <= 8 * 7200), 0) / (count(*) * 7200 * {math.sqrt(TAU)!r}) AS density FROM ev, (SELECT CAST(b AS INT) AS i FROM range(301) t(b)) GROUP BY ALL", "density", 12)
+query("ev_density", lambda s, d: E.density(ev(s, d), KEY, 0.0, 86400.0 * 30, 301, 7200.0), f"SELECT k, i, coalesce(sum(exp(-0.5 * pow((8640.0 * i - t) / 7200, 2))) FILTER (abs(8640.0 * i - t) <= 8 * 7200), 0) / (count(*) * 7200 * {math.sqrt(TAU)!r}) AS density FROM ev, (SELECT CAST(b AS INT) AS i FROM range(301) t(b)) GROUP BY ALL", "density", 12)
 query("ev_peri_density", lambda s, d: E.peri_event_density(X(s, d), R(s, d), KEY, -600.0, 600.0, 25, 60.0), f"SELECT k, i, sum(exp(-0.5 * pow((50.0 * i - 600 - lag) / 60, 2))) / (any_value(nt) * 60 * {math.sqrt(TAU)!r}) AS rate FROM (SELECT r.k, x.t - r.t AS lag, count(*) OVER () FROM r JOIN x ON x.k = r.k AND x.t - r.t BETWEEN -600 AND 600) JOIN (SELECT k, count(*) AS nt FROM r GROUP BY k) USING (k), (SELECT CAST(b AS INT) AS i FROM range(25) t(b)) GROUP BY ALL", "rate", 9)
 EPOCHS = "(SELECT k, 86400.0 * n AS start, 86400.0 * n + 60000 AS stop FROM (SELECT DISTINCT k FROM ev), range(30) t(n))"
 
@@ -288,17 +276,12 @@ query("stat_bin2d", lambda s, d: line(s, d).select(ST.bin_index(F.col("l_quantit
 query("stat_group_map", lambda s, d: line(s, d).join(F.broadcast(line(s, d).groupBy("l_returnflag").agg(F.avg("l_quantity").alias("_m"))), "l_returnflag").select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_quantity") - F.col("_m")).alias("centered")), "SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity - avg(l_quantity) OVER (PARTITION BY l_returnflag) AS centered FROM lineitem", "centered")
 query("stat_dense", lambda s, d: ST.dense(E.regular_bins(ev(s, d), KEY, 0.0, 86400.0).withColumn("bin", F.col("bin").cast("int")), KEY, {"bin": 31}, "n"), "SELECT g.k, CAST(b AS INT) AS bin, count(ev.t) AS n FROM (SELECT DISTINCT k FROM ev) g CROSS JOIN range(31) t(b) LEFT JOIN ev ON ev.k = g.k AND floor(ev.t / 86400) = b GROUP BY ALL")
 query("stat_monte_carlo", lambda s, d: ev(s, d).groupBy("k").agg(*[ST.monte_carlo_pvalue("v", F.lit(120.0), t, 50.0).alias(t) for t in ("right", "left", "both")]), 'SELECT k, (count(*) FILTER (v >= 120) + 1) / (count(v) + 1) AS "right", (count(*) FILTER (v <= 120) + 1) / (count(v) + 1) AS "left", (count(*) FILTER (abs(v - 50) >= 70) + 1) / (count(v) + 1) AS "both" FROM ev GROUP BY k')
-PV = "(SELECT k, user_id % 20 AS g, (floor(v) % 97 + 1) / 98 AS p FROM ev WHERE user_id < 40)"
-pv = lambda s, d: ev(s, d).filter("user_id < 40").select("k", (F.col("user_id") % 20).alias("g"), ((F.floor("v") % 97 + 1) / 98).alias("p"))
+# Fisher's sum has as many terms as a group has values.
+PV = "(SELECT k, user_id % 20 AS g, (floor(v) % 97 + 1) / 98 AS p FROM ev)"
+pv = lambda s, d: ev(s, d).select("k", (F.col("user_id") % 20).alias("g"), ((F.floor("v") % 97 + 1) / 98).alias("p"))
 query("stat_combine_p", lambda s, d: pv(s, d).groupBy("k", "g").agg(*[ST.combine_pvalues("p", m).alias(m) for m in ("nichols", "friston", "tippett")]), f"SELECT k, g, max(p) AS nichols, pow(max(p), count(*)) AS friston, 1 - pow(1 - min(p), count(*)) AS tippett FROM {PV} GROUP BY ALL", "nichols friston tippett", 9)
-query("stat_fisher", lambda s, d: ST.fisher(pv(s, d), ["k", "g"], "p"), f"SELECT k, g, exp(-any_value(x)) * sum(term) AS p FROM (SELECT k, g, x, j, exp(j * ln(x) - lgamma(j + 1)) AS term FROM (SELECT k, g, count(*) AS n, -sum(ln(p)) AS x FROM {PV} GROUP BY ALL), range(2000) t(j) WHERE j < n) GROUP BY k, g", "p", 7)
+query("stat_fisher", lambda s, d: ST.fisher(pv(s, d), ["k", "g"], "p"), f"SELECT k, g, sum(exp(j * ln(x) - lgamma(j + 1) - x)) AS p FROM (SELECT k, g, x, unnest(range(n)) AS j FROM (SELECT k, g, count(*) AS n, -sum(ln(p)) AS x FROM {PV} GROUP BY ALL)) GROUP BY k, g", "p", 7)
 query("stat_format_p", lambda s, d: pv(s, d).select("p").distinct().select(F.round("p", 6).alias("p"), ST.stars(F.col("p")).alias("stars"), ST.exact(F.col("p")).alias("exact"), ST.relative(F.col("p")).alias("relative")), f"SELECT DISTINCT round(p, 6) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS stars, printf('p=%.3f', p) AS exact, CASE WHEN p < 0.001 THEN 'p<0.001' WHEN p < 0.01 THEN 'p<0.01' WHEN p < 0.05 THEN 'p<0.05' ELSE 'p≥0.05' END AS relative FROM {PV}")
-# The same over the events of all users; Fisher's sum has as many terms as a group has values.
-PV_ALL = "(SELECT k, user_id % 20 AS g, (floor(v) % 97 + 1) / 98 AS p FROM ev)"
-pv_all = lambda s, d: ev(s, d).select("k", (F.col("user_id") % 20).alias("g"), ((F.floor("v") % 97 + 1) / 98).alias("p"))
-query("stat_combine_p_all", lambda s, d: pv_all(s, d).groupBy("k", "g").agg(*[ST.combine_pvalues("p", m).alias(m) for m in ("nichols", "friston", "tippett")]), f"SELECT k, g, max(p) AS nichols, pow(max(p), count(*)) AS friston, 1 - pow(1 - min(p), count(*)) AS tippett FROM {PV_ALL} GROUP BY ALL", "nichols friston tippett", 9)
-query("stat_fisher_all", lambda s, d: ST.fisher(pv_all(s, d), ["k", "g"], "p"), f"SELECT k, g, sum(exp(j * ln(x) - lgamma(j + 1) - x)) AS p FROM (SELECT k, g, x, unnest(range(n)) AS j FROM (SELECT k, g, count(*) AS n, -sum(ln(p)) AS x FROM {PV_ALL} GROUP BY ALL)) GROUP BY k, g", "p", 7)
-query("stat_format_p_all", lambda s, d: pv_all(s, d).select("p").distinct().select(F.round("p", 6).alias("p"), ST.stars(F.col("p")).alias("stars"), ST.exact(F.col("p")).alias("exact"), ST.relative(F.col("p")).alias("relative")), f"SELECT DISTINCT round(p, 6) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS stars, printf('p=%.3f', p) AS exact, CASE WHEN p < 0.001 THEN 'p<0.001' WHEN p < 0.01 THEN 'p<0.01' WHEN p < 0.05 THEN 'p<0.05' ELSE 'p≥0.05' END AS relative FROM {PV_ALL}")
 query("stat_mode", lambda s, d: ST.mode_kde(ev(s, d), KEY, "v", 101), """SELECT k, arg_max(gx, struct_pack(d := d, g := -g)) AS mode FROM (SELECT k, g, gx, round(sum(c * exp(-0.5 * pow((gx - vv) / h, 2))), 6) AS d FROM (SELECT q.k, g, vv, c, sd * pow(n, -0.2) AS h, lo + (hi - lo) * g / 100 AS gx FROM (SELECT k, round(v, 2) AS vv, count(*) AS c FROM ev GROUP BY ALL) q JOIN (SELECT k, count(v) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi FROM ev GROUP BY k) s USING (k), range(101) t(g)) GROUP BY ALL) GROUP BY k""", "mode", 4)
 query("stat_beta", lambda s, d: table(s, d, "part").select("p_partkey", *ST.beta_parameters(F.col("p_size") / 51.0, F.lit(4.0))), "SELECT p_partkey, (p_size / 51.0::DOUBLE) * 2 + 1 AS alpha, (1 - p_size / 51.0::DOUBLE) * 2 + 1 AS beta FROM part", "alpha beta")
 query("stat_spatial_information", lambda s, d: ST.spatial_information(E.regular_bins(ev(s, d), KEY, 0.0, 86400.0).select("k", (F.col("n") / 24.0).alias("rate"), (F.col("bin") % 5 + 1).cast("double").alias("occ")), KEY, "rate", "occ"), "SELECT k, sum(r * o / tn * log2(r / (tn / tt))) AS information FROM (SELECT *, sum(r * o) OVER (PARTITION BY k) AS tn, sum(o) OVER (PARTITION BY k) AS tt FROM (SELECT k, count(*) / 24.0::DOUBLE AS r, (floor(t / 86400) % 5 + 1)::DOUBLE AS o FROM ev GROUP BY k, floor(t / 86400))) GROUP BY k", "information", 9)
@@ -329,8 +312,7 @@ query("circ_moments", lambda s, d: C.moments(ang(s, d), KEY), f"""SELECT k, n, m
 (SELECT k, count(*) AS n, avg(cos(theta)) AS c, avg(sin(theta)) AS s, avg(cos(2 * theta)) AS c2, avg(sin(2 * theta)) AS s2 FROM ang GROUP BY k)))""", "mean r dispersion re2 im2 std ci rayleigh_s rayleigh_p")
 query("circ_kuiper", lambda s, d: C.kuiper(ang(s, d), KEY), f"SELECT k, v, (8 * v * v - 2) * exp(-2 * v * v) AS p FROM (SELECT k, (max(u) - min(u) + 1 / any_value(n)) * (sqrt(any_value(n)) + 0.155 + 0.24 / sqrt(any_value(n))) AS v FROM (SELECT k, n, theta / {TAU!r} - (row_number() OVER (PARTITION BY k ORDER BY theta) - 1) / n AS u FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM ang)) GROUP BY k)", "v p")
 query("circ_rank", lambda s, d: C.rank(ang(s, d), KEY).select("event_id", "rank"), f"SELECT event_id, {TAU!r} * (rank() OVER (PARTITION BY k ORDER BY theta) + (count(*) OVER (PARTITION BY k, theta) - 1) / 2) / count(*) OVER (PARTITION BY k) AS rank FROM ang", "rank")
-query("circ_interval", lambda s, d: C.interval(ang(s, d).filter("theta < 5"), KEY), f"SELECT k, {TAU!r} - max(g) AS interval FROM (SELECT k, coalesce(lead(theta) OVER (PARTITION BY k ORDER BY theta), min(theta) OVER (PARTITION BY k) + {TAU!r}) - theta AS g FROM ang WHERE theta < 5) GROUP BY k", "interval")
-query("circ_interval_all", lambda s, d: C.interval(ang(s, d), KEY), f"SELECT k, {TAU!r} - max(g) AS interval FROM (SELECT k, coalesce(lead(theta) OVER (PARTITION BY k ORDER BY theta), min(theta) OVER (PARTITION BY k) + {TAU!r}) - theta AS g FROM ang) GROUP BY k", "interval")
+query("circ_interval", lambda s, d: C.interval(ang(s, d), KEY), f"SELECT k, {TAU!r} - max(g) AS interval FROM (SELECT k, coalesce(lead(theta) OVER (PARTITION BY k ORDER BY theta), min(theta) OVER (PARTITION BY k) + {TAU!r}) - theta AS g FROM ang) GROUP BY k", "interval")
 query("circ_hist", lambda s, d: C.histogram(ang(s, d), KEY), f"SELECT k, CAST(floor(theta / ({TAU!r} / 24) + 0.5) % 24 AS INT) AS bin, count(*) AS n FROM ang GROUP BY ALL")
 query("circ_kde", lambda s, d: C.kde(ang(s, d), KEY), f"SELECT k, CAST(b AS INT) AS bin, avg(exp(5 * cos(theta - {TAU!r} * b / 24)) / ({TAU!r} * 27.239871823604442)) AS density FROM ang, range(24) t(b) GROUP BY ALL", "density")
 query("circ_median", lambda s, d: C.median(ang(s, d), KEY), f"SELECT k, arg_min(a, struct_pack(c := c, a := a)) AS median FROM (SELECT p.k, p.theta AS a, round(avg(abs(p.theta - q.theta + {math.pi!r} - floor((p.theta - q.theta + {math.pi!r}) / {TAU!r}) * {TAU!r} - {math.pi!r})), 9) AS c FROM ang p JOIN ang q USING (k) GROUP BY ALL) GROUP BY k", "median", 5)
@@ -351,8 +333,7 @@ query("geo_polygon_area", lambda s, d: G.polygon_area(sig(s, d).select("k", "i",
 query("geo_path_length", lambda s, d: G.path_length(sig(s, d).select("k", "i", F.col("i").cast("double").alias("x"), "y"), KEY, "i"), "SELECT k, sum(sqrt(1 + dy * dy)) AS length FROM (SELECT k, lead(y) OVER (PARTITION BY k ORDER BY i) - y AS dy FROM sig) GROUP BY k", "length", 4)
 query("geo_bounding_box", lambda s, d: xy(s, d).join(line(s, d).select("l_orderkey", "l_linenumber", "l_returnflag"), ["l_orderkey", "l_linenumber"]).groupBy("l_returnflag").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")), "SELECT l_returnflag, min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_discount) AS y0, max(l_discount) AS y1 FROM lineitem GROUP BY ALL")
 SIDES = " UNION ALL ".join(f"SELECT {i} AS edge, {x0}::DOUBLE AS x0, {y0}::DOUBLE AS y0, {x1}::DOUBLE AS x1, {y1}::DOUBLE AS y1, {sum(math.hypot(c - a, e - b) for a, b, c, e in G.edges(PATH, False)[:i])!r}::DOUBLE AS before" for i, (x0, y0, x1, y1) in enumerate(G.edges(PATH, False)))
-query("geo_point_to_polyline", lambda s, d: xy(s, d).filter("y <> 0.05").withColumn("n", G.point_to_polyline(F.col("x"), F.col("y"), PATH)).select("l_orderkey", "l_linenumber", F.abs("n.distance").alias("distance"), "n.along_path").distinct(), f"""SELECT l_orderkey, l_linenumber, min(dd) AS distance, arg_min(b * len + before, struct_pack(d := dd, e := edge)) AS along_path FROM (SELECT *, sqrt(pow(x - x0 - b * (x1 - x0), 2) + pow(y - y0 - b * (y1 - y0), 2)) AS dd FROM (SELECT *, greatest(0.0, least(1.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (len * len))) AS b FROM (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS len FROM (SELECT DISTINCT * FROM {XY}) CROSS JOIN ({SIDES})) WHERE y <> 0.05)) GROUP BY l_orderkey, l_linenumber, x, y""", "distance along_path", 5)
-query("geo_point_to_polyline_all", lambda s, d: xy(s, d).withColumn("n", G.point_to_polyline(F.col("x"), F.col("y"), PATH)).select("l_orderkey", "l_linenumber", F.abs("n.distance").alias("distance"), "n.along_path").distinct(), f"""SELECT l_orderkey, l_linenumber, min(dd) AS distance, arg_min(b * len + before, struct_pack(d := dd, e := edge)) AS along_path FROM (SELECT *, sqrt(pow(x - x0 - b * (x1 - x0), 2) + pow(y - y0 - b * (y1 - y0), 2)) AS dd FROM (SELECT *, greatest(0.0, least(1.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (len * len))) AS b FROM (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS len FROM (SELECT DISTINCT * FROM {XY}) CROSS JOIN ({SIDES})))) GROUP BY l_orderkey, l_linenumber, x, y""", "distance along_path", 5)
+query("geo_point_to_polyline", lambda s, d: xy(s, d).withColumn("n", G.point_to_polyline(F.col("x"), F.col("y"), PATH)).select("l_orderkey", "l_linenumber", F.abs("n.distance").alias("distance"), "n.along_path").distinct(), f"""SELECT l_orderkey, l_linenumber, min(dd) AS distance, arg_min(b * len + before, struct_pack(d := dd, e := edge)) AS along_path FROM (SELECT *, sqrt(pow(x - x0 - b * (x1 - x0), 2) + pow(y - y0 - b * (y1 - y0), 2)) AS dd FROM (SELECT *, greatest(0.0, least(1.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (len * len))) AS b FROM (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS len FROM (SELECT DISTINCT * FROM {XY}) CROSS JOIN ({SIDES})))) GROUP BY l_orderkey, l_linenumber, x, y""", "distance along_path", 5)
 query("geo_shortest_paths", lambda s, d: G.shortest_paths(table(s, d, "nation").select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").cast("int").alias("r")).withColumn("b", F.pmod(F.col("a") * 2 + 1, F.lit(25)).cast("int")).select("a", "b", (F.col("r") + 1.0).alias("length")), s.range(1).select(F.lit(0).alias("node"))).select("node", "distance"), """SELECT node, min(distance) AS distance FROM (WITH RECURSIVE l AS (SELECT n_nationkey AS a, CAST((n_nationkey * 2 + 1) % 25 AS INT) AS b, n_regionkey + 1.0::DOUBLE AS length FROM nation), g AS (SELECT * FROM l UNION ALL SELECT b, a, length FROM l),
 p(node, distance, hops) AS (SELECT 0, 0.0::DOUBLE, 0 UNION ALL SELECT * FROM (SELECT g.b, min(p.distance + g.length), any_value(p.hops) + 1 FROM p JOIN g ON p.node = g.a WHERE p.hops < 24 GROUP BY g.b)) SELECT * FROM p) GROUP BY node""", "distance")
 

@@ -22,14 +22,14 @@ def folder(spark, tmp_path_factory):
 def test_p_values_of_all_users(spark, folder):
     d, e = folder
     e = e.assign(g=e.user_id % 20, p=(e.v // 1 % 97 + 1) / 98)
-    got = {(r.k, r.g): r for r in entry.queries()["stat_combine_p_all"](spark, d).collect()}
-    fisher = {(r.k, r.g): r.p for r in entry.queries()["stat_fisher_all"](spark, d).collect()}
+    got = {(r.k, r.g): r for r in entry.queries()["stat_combine_p"](spark, d).collect()}
+    fisher = {(r.k, r.g): r.p for r in entry.queries()["stat_fisher"](spark, d).collect()}
     assert set(got) == set(fisher) == {*zip(e.k, e.g)}
     for key, p in e.groupby(["k", "g"]).p:
         n, x = len(p), -sum(map(math.log, p))
         assert math.isclose(got[key].friston, max(p) ** n, abs_tol=1e-9) and math.isclose(got[key].tippett, 1 - (1 - min(p)) ** n, abs_tol=1e-9) and got[key].nichols == round(max(p), 9)
         assert math.isclose(fisher[key], sum(math.exp(j * math.log(x) - x - math.lgamma(j + 1)) for j in range(n)), abs_tol=1e-6)
-    assert {r.p for r in entry.queries()["stat_format_p_all"](spark, d).collect()} == {round(p, 6) for p in e.p}
+    assert {r.p for r in entry.queries()["stat_format_p"](spark, d).collect()} == {round(p, 6) for p in e.p}
 
 
 def test_fisher_of_many_values(spark):
@@ -69,9 +69,9 @@ def test_segments_of_all_events(spark, folder):
         merged |= {(k, a - 600, z + 600) for a, z in ends}
         gaps |= {(k, a[1] + 600, z[0] - 600) for a, z in zip(ends, ends[1:])}
     run = lambda name: {tuple(r)[:3] for r in entry.queries()[name](spark, d).collect()}
-    assert run("seg_merge_all") == run("seg_intervals_all") == merged and run("seg_invert_all") == gaps
-    assert run("seg_span_all") == {(k, own.t.min() - 600, own.t.max() + 600) for k, own in t.groupby("k")}
-    assert run("seg_offset_all") == {(k, x - 587.5, x + 612.5) for k, x in zip(t.k, t.t)} and run("seg_scale_all") == {(k, x - 1800, x + 1800) for k, x in zip(t.k, t.t)}
+    assert run("seg_merge") == run("seg_intervals") == merged and run("seg_invert") == gaps
+    assert run("seg_span") == {(k, own.t.min() - 600, own.t.max() + 600) for k, own in t.groupby("k")}
+    assert run("seg_offset") == {(k, x - 587.5, x + 612.5) for k, x in zip(t.k, t.t)} and run("seg_scale") == {(k, x - 1800, x + 1800) for k, x in zip(t.k, t.t)}
 
 
 def test_shortest_paths_of_many_links(spark):
@@ -91,7 +91,7 @@ def test_all_points_and_angles(spark, folder, tmp_path):
 
     rows = [(i, 1, "N", float(1 + i % 50), round(i // 50 % 11 * 0.01, 2), 1.0) for i in range(550)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double, l_discount double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {r.l_orderkey: (r.distance, r.along_path) for r in entry.queries()["geo_point_to_polyline_all"](spark, str(tmp_path)).collect()}
+    got = {r.l_orderkey: (r.distance, r.along_path) for r in entry.queries()["geo_point_to_polyline"](spark, str(tmp_path)).collect()}
     assert len(got) == 550
     for i, _, _, x, y, _ in rows:
         before, options = 0.0, []
@@ -103,7 +103,7 @@ def test_all_points_and_angles(spark, folder, tmp_path):
         assert math.isclose(got[i][0], min(options)[0], abs_tol=2e-5) and math.isclose(got[i][1], min(options)[2], abs_tol=2e-5)
     d, e = folder
     theta = (e.ts - e.ts.dt.normalize()).dt.total_seconds() * TAU / 86400
-    for r in entry.queries()["circ_interval_all"](spark, d).collect():
+    for r in entry.queries()["circ_interval"](spark, d).collect():
         own = sorted(theta[e.k == r.k])
         assert math.isclose(r.interval, TAU - max(z - a for a, z in zip(own, [*own[1:], own[0] + TAU])), abs_tol=2e-6)
 
@@ -111,6 +111,6 @@ def test_all_points_and_angles(spark, folder, tmp_path):
 def test_density_over_all_days(spark, folder):
     """Every event adds to the grid: the density sums up to 1, but for the tails beyond its ends."""
     total: dict = {}
-    for r in entry.queries()["ev_density_all"](spark, folder[0]).collect():
+    for r in entry.queries()["ev_density"](spark, folder[0]).collect():
         total[r.k] = total.get(r.k, 0) + r.density * 8640
     assert set(total) == {"a", "b"} and all(0.99 < x < 1.01 for x in total.values())
