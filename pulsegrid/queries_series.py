@@ -139,7 +139,7 @@ oracle("mtspectrum", f"SELECT k AS vec_id, f * 64.0::DOUBLE / {N} AS freq, 2 * a
 WINDOWS = "(SELECT k || '/' || w AS k, j AS i, y FROM (SELECT k, w, i - w AS j, y FROM sig JOIN (SELECT k AS q, unnest(range(0, max(i) - 126, 64)) AS w FROM sig GROUP BY k) ON q = k AND i >= w AND i < w + 128))"
 oracle("mtspectrogram", f"SELECT split_part(k, '/', 1) AS k, CAST(split_part(k, '/', 2) AS INT) AS w, f / 128::DOUBLE AS freq, 2 * avg(re * re + im * im) AS power FROM {transforms(WINDOWS, 128)} GROUP BY ALL", "power", 3)
 turned = lambda df: df.select(*[c for c in df.columns if c != "phase"], F.cos("phase").alias("phase_cos"), F.sin("phase").alias("phase_sin"))
-PAIRED = "SELECT a.k, f, sum(a.re * b.re + a.im * b.im) AS re, sum(a.re * b.im - a.im * b.re) AS im, sqrt(sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im)) AS norms"
+PAIRED = "SELECT a.k, a.f AS f, sum(a.re * b.re + a.im * b.im) AS re, sum(a.re * b.im - a.im * b.re) AS im, sqrt(sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im)) AS norms"
 coherent = QUERIES["mtcoherence"]
 oracle("mtcoherence", f"SELECT k AS vec_id, f * 64.0::DOUBLE / {N} AS freq, sqrt(re * re + im * im) / norms AS coherence, re / sqrt(re * re + im * im) AS phase_cos, im / sqrt(re * re + im * im) AS phase_sin FROM ({PAIRED} FROM {transforms(EMB3, N)} a JOIN {transforms(EMB3, N)} b ON b.k = a.k + 1 AND b.f = a.f AND b.t = a.t GROUP BY a.k, a.f)", "coherence phase_cos phase_sin", 5, lambda s, d: turned(coherent(s, d)))
 SECOND = WINDOWS.replace("FROM sig JOIN", "FROM (SELECT k, i, y * (1 + i % 7) AS y FROM sig) sig JOIN")

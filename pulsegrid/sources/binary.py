@@ -1,7 +1,9 @@
 """Sources and sinks for binary record files of acquisition systems, through Spark's Python data source API.
 
-A file is a text header and fixed-size records; record ranges are the partitions, a closed time range is pushed down by
-bisecting the records' timestamps, and only the columns asked for are decoded.
+A file is a text header and fixed-size records; record ranges are the partitions. A closed time range (options, or filters on
+``timestamp`` that Spark pushes down) is cut out by bisecting the records' timestamps, and blocks of records become Arrow batches.
+``format("records")`` maps files that driver and executors see under one path; ``records_from_storage`` decodes files of any
+storage Spark reads. Writing makes one file a task, with the text header in front.
 """
 
 from __future__ import annotations
@@ -9,12 +11,14 @@ from __future__ import annotations
 import glob
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from pulsegrid.plans.ordered import scan
@@ -65,16 +69,54 @@ def mwl_header(path: str) -> tuple[dict[str, str], int]:
 
 
 def mwl_layout(fields: str) -> list[tuple]:
-    """A schema string ``name,code,size,count`` (tab-separated fields) as a layout; code 1 with size above 1 is text."""
+    """A schema string ``name,code,size,shape`` (tab-separated fields) as a layout; code 1 of a longer size is text, the shape a number or [n m ...]."""
     out = []
     for f in re.split(r"[\t;]+", fields.strip()):
-        name, code, _, count = (f.split(",") + ["1", "1", "1"])[:4]
-        out.append((name.strip(), MWL_CODES[int(code)], () if int(count) == 1 else (int(count),)))
+        name, code, size, shape = ([p.strip() for p in f.split(",", 3)] + ["1", "1", "1"])[:4]
+        dims = tuple(int(n) for n in re.findall(r"\d+", shape))
+        out.append((name, f"S{size}", ()) if code == "1" and int(size) > 1 else (name, MWL_CODES[int(code)], () if dims in ((), (1,)) else dims))
     return out
 
 
+def mwl_fields(layout: list[tuple]) -> str:
+    """The schema string of a layout."""
+    codes = {t: c for c, t in MWL_CODES.items()}
+    text = lambda shape: "1" if not shape else str(shape[0]) if len(shape) == 1 else "[" + " ".join(map(str, shape)) + "]"
+    return "\t".join(f"{n},1,{t[1:]},1" if t.startswith("S") else f"{n},{codes[t]},{np.dtype(t).itemsize},{text(shape)}" for n, t, shape in layout)
+
+
+def filter_code(bits: Sequence[int]) -> int:
+    """Cut-off switches of an amplifier as one number; ``filter_bits`` takes it apart."""
+    return sum(1 << b for b in set(bits))
+
+
+def filter_bits(code: int) -> list[int]:
+    return [b for b in range(code.bit_length()) if code >> b & 1]
+
+
+def typed_header(header: dict[str, str]) -> dict[str, object]:
+    """Header values as what they look like: booleans, whole numbers, numbers, lists of numbers, else text."""
+
+    def value(text: str) -> object:
+        word = text.strip()
+        if word.lower() in ("true", "false", "yes", "no"):
+            return word.lower() in ("true", "yes")
+        parts = word.split()
+        try:
+            numbers = [int(p) if re.fullmatch(r"[+-]?\d+", p) else float(p) for p in parts]
+        except ValueError:
+            return word
+        return numbers[0] if len(numbers) == 1 else numbers or word
+
+    return {k: value(v) for k, v in header.items()}
+
+
 def layout_of(path: str, options: dict) -> tuple[list[tuple], int]:
     ext = os.path.splitext(path)[1].lower()
+    if options.get("record") == "buffer":  # blocks of several channels, their numbers stated in the header
+        header = nlx_header(path)
+        size = (int(header["SamplesPerRecord"]), int(header["NumADChannels"]))
+        return [("seconds", "<i4", ()), ("nanoseconds", "<i4", ()), ("dt", "<i4", ()), ("data", "<i2", size)], HEADER_BYTES
     if ext in EXTENSIONS:
         kind = options.get("record", EXTENSIONS[ext])
         layout = NLX_RECORDS[kind]
@@ -90,42 +132,129 @@ class Records(InputPartition):
         self.path, self.first, self.count = path, first, count
 
 
+def files_of(path: str) -> list[str]:
+    return sorted(f for f in (glob.glob(os.path.join(path, "*")) if os.path.isdir(path) else glob.glob(path)) if not os.path.basename(f).startswith(("_", ".")))
+
+
+def arrow_column(block: np.ndarray, name: str) -> pa.Array:
+    """One field of a block of records as an Arrow array."""
+    x = block[name]
+    if x.dtype.kind == "S":
+        return pa.array([v.split(b"\0")[0].decode("latin-1").rstrip() for v in x], pa.string())
+    wider = {"u1": "<i2", "u2": "<i4", "u4": "<i8", "u8": "<i8"}.get(x.dtype.str[1:])
+    flat = pa.array(np.ascontiguousarray(x.astype(wider) if wider else x).reshape(-1))
+    for n in reversed(x.shape[1:]):
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n, dtype=np.int32)), flat)
+    return flat
+
+
 class RecordReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.names, self.options = schema.names, dict(options)
 
-    def files(self) -> list[str]:
-        path = self.options["path"]
-        return sorted(glob.glob(os.path.join(path, "*")) if os.path.isdir(path) else glob.glob(path))
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Bounds on ``timestamp`` narrow the range of records; Spark filters by the rest."""
+        for f in filters:
+            if getattr(f, "attribute", None) != ("timestamp",) or not isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                yield f
+                continue
+            lo = {GreaterThan: f.value + 1, GreaterThanOrEqual: f.value, EqualTo: f.value}.get(type(f))
+            hi = {LessThan: f.value - 1, LessThanOrEqual: f.value, EqualTo: f.value}.get(type(f))
+            if lo is not None:
+                self.options["start"] = max(int(lo), int(self.options.get("start", lo)))
+            if hi is not None:
+                self.options["stop"] = min(int(hi), int(self.options.get("stop", hi)))
 
     def partitions(self) -> list[Records]:
         size, out = int(self.options.get("recordsperpartition", 1 << 16)), []
         lo, hi = (self.options.get(k) for k in ("start", "stop"))
-        for path in self.files():
+        for path in files_of(self.options["path"]):
             data = open_records(path, self.options)
             a, z = 0, len(data)
-            if lo is not None or hi is not None:  # closed range of the raw clock; records are in order of time
+            if (lo is not None or hi is not None) and z:  # closed range of the raw clock; records are in order of time
                 t = data["timestamp"]
-                a = int(np.searchsorted(t, int(lo), "left")) if lo is not None else 0
-                z = int(np.searchsorted(t, int(hi), "right")) if hi is not None else z
+                a = int(np.searchsorted(t, max(0, int(lo)), "left")) if lo is not None else 0
+                z = (int(np.searchsorted(t, int(hi), "right")) if int(hi) >= 0 else 0) if hi is not None else z
             out += [Records(path, i, min(size, z - i)) for i in range(a, z, size)]
         return out or [Records("", 0, 0)]
 
-    def read(self, part: Records) -> Iterator[tuple]:
+    def read(self, part: Records) -> Iterator[pa.RecordBatch]:
         if not part.count:
             return
-        block = np.array(open_records(part.path, self.options)[part.first : part.first + part.count])
-        columns = []
-        for n in self.names:
-            if n == "file":
-                columns.append([os.path.basename(part.path)] * part.count)
-            elif n == "record":
-                columns.append(range(part.first, part.first + part.count))
-            elif block.dtype[n].kind == "S":
-                columns.append([x.split(b"\0")[0].decode("latin-1").rstrip() for x in block[n]])
+        data = open_records(part.path, self.options)
+        for first in range(part.first, part.first + part.count, 4096):
+            block = np.array(data[first : min(first + 4096, part.first + part.count)])
+            made = {"file": lambda b=block: pa.array([os.path.basename(part.path)] * len(b), pa.string()), "record": lambda b=block, i=first: pa.array(np.arange(i, i + len(b), dtype=np.int64))}
+            yield pa.RecordBatch.from_arrays([made[n]() if n in made else arrow_column(block, n) for n in self.names], self.names)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    path: str
+    rows: int
+
+
+class RecordWriter(DataSourceWriter):
+    """One file of fixed records a task, in a folder that all tasks share; a file gets its name when the whole job is done."""
+
+    def __init__(self, schema: StructType, options: dict, overwrite: bool):
+        self.folder, self.overwrite, self.names = options["path"], overwrite, schema.names
+        kinds = {"tinyint": "i1", "smallint": "<i2", "int": "<i4", "bigint": "<i8", "float": "<f4", "double": "<f8"}
+        self.layout = mwl_layout(options["fields"]) if "fields" in options else [(f.name, kinds[f.dataType.simpleString()], ()) for f in schema]
+        self.head = b"" if options.get("header", "true") == "false" else f"%%BEGINHEADER\n% Program: pulsegrid\n% File type: Binary\n% Fields: \t{mwl_fields(self.layout)}\n%%ENDHEADER\n".encode()
+
+    def write(self, rows: Iterator) -> Written:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        os.makedirs(self.folder, exist_ok=True)
+        path = os.path.join(self.folder, f".part-{context.partitionId():06d}-{context.taskAttemptId()}")
+        dtype, n = np.dtype([(a, t, s) for a, t, s in self.layout]), 0
+        with open(path, "wb") as f:
+            f.write(self.head)
+            block: list[tuple] = []
+            for row in rows:
+                block.append(tuple(v.encode("latin-1", "replace") if isinstance(v := row[a], str) else v for a, _, _ in self.layout))
+                if len(block) == 4096:
+                    f.write(np.array(block, dtype).tobytes())
+                    n, block = n + len(block), []
+            f.write(np.array(block, dtype).tobytes())
+        return Written(path, n + len(block))
+
+    def commit(self, messages: list) -> None:
+        written = [m for m in messages if m is not None]
+        if self.overwrite:
+            for old in files_of(self.folder):
+                os.remove(old)
+        taken = len(files_of(self.folder))
+        for i, m in enumerate(sorted(written, key=lambda m: m.path)):
+            if m.rows:
+                os.replace(m.path, os.path.join(self.folder, f"part-{taken + i:06d}.p"))
             else:
-                columns.append(block[n].tolist())
-        yield from zip(*columns)
+                os.remove(m.path)
+
+    def abort(self, messages: list) -> None:
+        for m in messages:
+            if m is not None and os.path.exists(m.path):
+                os.remove(m.path)
+
+
+def records_from_storage(spark: SparkSession, path: str, layout: list[tuple], offset: int = HEADER_BYTES) -> DataFrame:
+    """Records of files on any storage that Spark reads (a task holds one file): file, record, and the fields of ``layout``."""
+    dtype = np.dtype([(n, t, s) for n, t, s in layout])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                raw = content.as_buffer()
+                n = max(0, raw.size - offset) // dtype.itemsize
+                data = np.frombuffer(raw, dtype, n, offset) if n else np.empty(0, dtype)
+                for i in range(0, n, 4096):
+                    block = data[i : i + 4096]
+                    columns = [pa.array([os.path.basename(name)] * len(block), pa.string()), pa.array(np.arange(i, i + len(block), dtype=np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns + [arrow_column(block, c) for c, _, _ in layout], ["file", "record", *[c for c, _, _ in layout]])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, "file string, record bigint, " + schema_of(layout))
 
 
 def open_records(path: str, options: dict) -> np.memmap | np.ndarray:
@@ -144,14 +273,18 @@ class RecordSource(DataSource):
 
     def schema(self) -> str:
         options = {k.lower(): v for k, v in self.options.items()}
-        first = RecordReader(StructType(), options).files()[0]
+        first = files_of(options["path"])[0]
         return "file string, record bigint, " + schema_of(layout_of(first, options)[0])
 
     def reader(self, schema: StructType) -> RecordReader:
         return RecordReader(schema, {k.lower(): v for k, v in self.options.items()})
 
+    def writer(self, schema: StructType, overwrite: bool) -> RecordWriter:
+        return RecordWriter(schema, {k.lower(): v for k, v in self.options.items()}, overwrite)
+
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordSource)
 
 
@@ -172,15 +305,11 @@ def unpack_points(points: str = "points") -> Column:
     ))
 
 
-def write_interleaved(samples: DataFrame, path: str, channels: list[int]) -> int:
-    """int16 file of all channels, sample by sample (channel, i, y). Blocks stream to the driver one partition at a time; returns the samples."""
-    wide = samples.groupBy("i").pivot("channel", channels).agg(F.first("y")).orderBy("i").fillna(0)
-    n = 0
-    with open(path, "wb") as f:
-        for batch in wide.select(*[F.col(str(c)).cast("short") for c in channels]).toLocalIterator(prefetchPartitions=True):
-            f.write(np.asarray(batch, "<i2").tobytes())
-            n += 1
-    return n
+def write_interleaved(samples: DataFrame, folder: str, channels: list[int]) -> None:
+    """int16 files of all channels, sample by sample (channel, i, y): range-sorted by sample, one file a task, in order of their names."""
+    wide = samples.groupBy("i").pivot("channel", channels).agg(F.first("y")).fillna(0).repartitionByRange("i").sortWithinPartitions("i")
+    register(samples.sparkSession)
+    wide.select(*[F.col(str(c)).cast("short").alias(f"c{c}") for c in channels]).write.format("records").option("header", "false").mode("overwrite").save(folder)
 
 
 TTL = r"TTL Input on (\S+) board (\d+) port (\d+) value \((0x[0-9A-Fa-f]+)\)"
@@ -201,10 +330,3 @@ def ttl_pulses(events: DataFrame, keys: list[str], bit: int, minimum_us: int = 5
     edges = scan(d, by, ["timestamp", "rec_id"], bucket, _was=("lag", "_on")).filter(F.col("_on") != F.coalesce("_was", F.lit(False))).drop("_was")
     d = scan(edges, by, ["timestamp", "rec_id"], bucket, _next=("lead", "timestamp"))
     return d.filter(F.col("_on") & (F.col("_next") - F.col("timestamp") > minimum_us)).select(*by, F.col("timestamp").alias("start_us"), F.col("_next").alias("stop_us"))
-
-
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of an acquisition log with their level, clock and text: file, level, clock, message."""
-    line = r"^-?\*?\s*(\w+)\s*\*?-?.*?(\d{2}:\d{2}:\d{2}(?:\.\d+)?)\s*-\s*(.*)$"
-    text = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
-    return text.filter(F.col("value").rlike(line)).select("file", *[F.regexp_extract("value", line, i).alias(n) for i, n in ((1, "level"), (2, "clock"), (3, "message"))])
