@@ -252,14 +252,13 @@ class Model:
 
 
 STRIP = ".,:;()!?\"'[]/-"
-BLANK = re.compile("[ \t\r\n]+")
 PASSAGE = re.compile(r"([\r\n]+|(?<=[.!?])[ \t]+)")
 
 
 def tokens(text: str) -> list[str]:
     """Tokens with a character beyond ASCII, without ASCII punctuation around them."""
-    beyond = [x for x in text.split(" ") if not x.isascii()]  # by one character, which is quick; the few others after that
-    return [x.strip(STRIP) for part in beyond for x in ((part,) if part.isprintable() else BLANK.split(part)) if not x.isascii()]
+    one = text.replace("\t", " ").replace("\r", " ").replace("\n", " ")  # splitting by one character is quick
+    return [x.strip(STRIP) for x in one.split(" ") if not x.isascii()]
 
 
 def language(lang: Column) -> Column:
