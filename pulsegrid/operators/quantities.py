@@ -6,6 +6,7 @@ text and worker); which unit holds where none is written is decided with column
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 from functools import lru_cache
 
@@ -16,36 +17,43 @@ from pyspark.sql import types as T
 
 from pulsegrid.functions import units as U
 
-ENTRY = T.ArrayType(T.StructType([T.StructField("number", T.StringType()), T.StructField("unit", T.StringType())]))
+#: Values of this size or more (in the target unit) don't fit the decimals and can't be read.
+LIMIT = 10**28
 
 
 @lru_cache(maxsize=65536)
-def _entries(text: str | None) -> tuple:
-    return tuple((None if n is None else f"{n.numerator}/{n.denominator}", u) for n, u in U.parse_quantities(text))
-
-
-@F.pandas_udf(ENTRY)
-def quantities(texts: pd.Series) -> pd.Series:
-    """Text -> its entries: the exact number (as a fraction) and the unit text, null where none is written."""
-    return texts.map(lambda t: [{"number": n, "unit": u} for n, u in _entries(None if pd.isna(t) else t)])
+def _converted(number: U.Fraction, unit: str, target: str) -> Decimal | None:
+    value = U.convert(number, unit, target)
+    if value is None or abs(value) >= LIMIT:
+        return None
+    return Decimal(value.numerator * 10**9 // value.denominator).scaleb(-9)
 
 
 @lru_cache(maxsize=65536)
-def _converted(number: str, unit: str, target: str) -> Decimal | None:
-    value = U.convert(U.Fraction(number), unit, target)
-    if value is None or abs(value) >= 10**19:
-        return None
-    return Decimal(value.numerator * 10**9 // value.denominator).scaleb(-9)
+def _entries(text: str | None, noted: str | None, target: str, guesses: tuple[str, ...]) -> tuple:
+    out = []
+    for n, own in U.parse_quantities(text):
+        unit = own or noted
+        written = _converted(n, unit, target) if n is not None and unit else None
+        out.append((None if n is None else float(n), unit, written, None if n is None else [_converted(n, g, target) for g in guesses]))
+    return tuple(out)
 
 
-def converter(target: str):
-    """An Arrow function (number, unit) -> decimal in ``target``; null for other dimensions or unreadable units."""
+def quantities(target: str, guesses: tuple[str, ...] = ()) -> Callable[[Column, Column], Column]:
+    """An Arrow function (text, unit noted elsewhere) -> the text's entries, all that is parsed in one go.
+
+    An entry has its number (``value``), its unit (its own, else the noted one), the number in ``target`` (``written``; null without a
+    unit, for another dimension or an unreadable unit), and the number in ``target`` if it were in each of the ``guesses``.
+    """
+    exact = T.DecimalType(38, 9)
+    entry = T.StructType([T.StructField("value", T.DoubleType()), T.StructField("unit", T.StringType()), T.StructField("written", exact), T.StructField("guessed", T.ArrayType(exact))])
 
-    @F.pandas_udf(T.DecimalType(38, 9))
-    def to_target(numbers: pd.Series, units: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(n) or pd.isna(u) else _converted(n, u, target) for n, u in zip(numbers, units)], dtype=object)
+    @F.pandas_udf(T.ArrayType(entry))
+    def parse(texts: pd.Series, noted: pd.Series) -> pd.Series:
+        text = lambda t: None if pd.isna(t) else t
+        return pd.Series([[dict(zip(("value", "unit", "written", "guessed"), e)) for e in _entries(text(t), text(u), target, guesses)] for t, u in zip(texts, noted)], dtype=object)
 
-    return to_target
+    return parse.asNondeterministic()  # evaluated once, however many columns come from it
 
 
 def header_line(text: Column, key: str) -> Column:
@@ -86,22 +94,20 @@ def bit_volts(headers: DataFrame, typical_range_uv: float = 1200.0) -> DataFrame
         is_true(F.coalesce(F.when(F.trim("inputinverted") != "", F.col("inputinverted")), header_line(raw, "InputInverted"))).alias("_inverted"),
     ).filter(F.col("_text").rlike(digits))
     ranges = F.regexp_extract_all("_ranges", F.lit(r"(\d+(?:\.\d+)?)"), 1)
-    entries = base.withColumn("_r", ranges).select("*", F.posexplode(quantities("_text")).alias("sub_channel", "_e")).filter("_e.number is not null")
-    parts = F.split("_e.number", "/")
-    value = (parts[0].cast("double") / parts[1].cast("double"))
+    entries = base.withColumn("_r", ranges).select("*", F.posexplode(quantities("pV/bit", ("V", "mV", "uV", "nV"))("_text", "_noted")).alias("sub_channel", "_e")).filter("_e.value is not null")
     span = F.coalesce(F.try_element_at("_r", F.col("sub_channel") + 1).cast("double"), F.when(F.size("_r") == 1, F.try_element_at("_r", F.lit(1)).cast("double")))
-    written = F.coalesce("_e.unit", "_noted")
-    entries = entries.withColumns({"_value": value, "_span": span, "_written": written})
+    entries = entries.select("*", F.col("_e.value").alias("_value"), F.col("_e.unit").alias("_written"), F.col("_e.written").alias("_written_pv"), span.alias("_span"))
     # log10 of (value in volts x ADMaxValue / range in volts), before any unit prefix
     known = (F.col("_value") != 0) & (F.col("_max") > 0)
     off = F.when(known, F.log10(F.abs("_value") * F.col("_max") / (F.coalesce("_span", F.lit(typical_range_uv)) * 1e-6)))
-    thousands = F.least(F.lit(3), F.greatest(F.lit(0), F.round(F.col("_off") / 3).cast("int")))
-    fits = F.element_at(F.array(F.lit("V"), F.lit("mV"), F.lit("uV"), F.lit("nV")), thousands + 1)
-    entries = entries.withColumn("_off", off).withColumn("_fits", fits).withColumn("_written_pv", converter("pV/bit")("_e.number", "_written"))
+    thousands = F.coalesce(F.least(F.lit(3), F.greatest(F.lit(0), F.round(F.col("_off") / 3).cast("int"))), F.lit(0))
+    entries = entries.withColumn("_off", off).withColumn("_prefix", thousands)
     wrong = F.abs(F.log10(F.abs(F.col("_written_pv").cast("double")) * 1e-12 * F.col("_max") / (F.col("_span") * 1e-6))) > 0.5
     readable = F.col("_written").isNull() | F.col("_written_pv").isNotNull()
-    unit = F.when(F.col("_written").isNull() | F.coalesce((F.col("_written_pv") != 0) & known & wrong, F.lit(False)), F.coalesce("_fits", F.lit("V"))).otherwise(F.col("_written"))
-    resolved = entries.filter(readable).withColumn("unit", unit).withColumn("_pv", converter("pV/bit")("_e.number", "unit")).filter("_pv is not null")
+    guess = F.col("_written").isNull() | F.coalesce((F.col("_written_pv") != 0) & known & wrong, F.lit(False))
+    unit = F.when(guess, F.element_at(F.array(*[F.lit(u) for u in ("V", "mV", "uV", "nV")]), F.col("_prefix") + 1)).otherwise(F.col("_written"))
+    value = F.when(guess, F.get("_e.guessed", F.col("_prefix"))).otherwise(F.col("_written_pv"))
+    resolved = entries.filter(readable).withColumn("unit", unit).withColumn("_pv", value).filter("_pv is not null")
     native = F.col("_pv").cast("double") == F.round(F.col("_value") * 1e12).cast("double")
     return resolved.select(
         "header_id", F.col("sub_channel").cast("int").alias("sub_channel"), "unit",

@@ -18,12 +18,12 @@ CONTINUOUS = ("CSC", "NCS")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Sub-channel values that are not recorded in volts per bit, in picovolts per bit, signed by InputInverted."""
     found = bit_volts(table(spark, d, "nlx_header")).filter(~F.col("native"))
-    return found.select("header_id", "sub_channel", F.round("pv_per_bit").cast("long").alias("pv_per_bit"))
+    return found.select("header_id", "sub_channel", F.round("pv_per_bit").try_cast("long").alias("pv_per_bit"))
 
 
 def p1_all(spark: SparkSession, d: str) -> DataFrame:
     """Every readable sub-channel value in picovolts per bit, with the unit it was recorded in."""
-    return bit_volts(table(spark, d, "nlx_header")).select("header_id", "sub_channel", "unit", F.round("pv_per_bit").cast("long").alias("pv_per_bit"))
+    return bit_volts(table(spark, d, "nlx_header")).select("header_id", "sub_channel", "unit", F.round("pv_per_bit").try_cast("long").alias("pv_per_bit"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
