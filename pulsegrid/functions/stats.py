@@ -151,10 +151,12 @@ def bootstrap_statistic(df: DataFrame, keys: Sequence[str], statistic: dict[str,
         cuts.append(c)
         p /= k + 1
     one = lambda u: sum((F.when(u > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
-    few = F.aggregate(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(32)).cast("int")), F.lit(0), lambda s, i: s + one(draw(i)))
+    draws = F.transform(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(32)).cast("int")), draw)
+    few = F.aggregate(draws, F.lit(0), lambda s, u: s + one(u))
+    reps = reps.withColumn("_u", draw(F.lit(1)))  # most values occur once
     normal = F.sqrt(-2 * F.ln(draw(F.lit(1)))) * F.cos(2 * math.pi * draw(F.lit(2)))  # Poisson(n) of a large n
     many = F.greatest(F.lit(0), F.round(F.col("_n") + F.sqrt("_n") * normal)).cast("int")
-    reps = reps.withColumn("w", F.when(F.col("_n") <= 32, few).otherwise(many)).filter("w > 0")
+    reps = reps.withColumn("w", F.when(F.col("_n") == 1, one(F.col("_u"))).when(F.col("_n") <= 32, few).otherwise(many)).filter("w > 0")
     values = reps.groupBy(*keys, "b").agg(statistic.alias("_m"))
     return values.groupBy(*keys).agg(F.percentile("_m", alpha / 2).alias("lo"), F.percentile("_m", 1 - alpha / 2).alias("hi"))
 
