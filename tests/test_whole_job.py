@@ -68,6 +68,7 @@ def test_segments_of_all_events(spark, folder):
         ends = own.groupby(new).t.agg(["min", "max"]).to_numpy()
         merged |= {(k, a - 600, z + 600) for a, z in ends}
         gaps |= {(k, a[1] + 600, z[0] - 600) for a, z in zip(ends, ends[1:])}
+        gaps |= {(k, -math.inf, ends[0][0] - 600), (k, ends[-1][1] + 600, math.inf)}  # the complement reaches to infinity
     run = lambda name: {tuple(r)[:3] for r in entry.queries()[name](spark, d).collect()}
     assert run("seg_merge") == run("seg_intervals") == merged and run("seg_invert") == gaps
     assert run("seg_span") == {(k, own.t.min() - 600, own.t.max() + 600) for k, own in t.groupby("k")}
