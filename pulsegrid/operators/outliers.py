@@ -2,14 +2,17 @@
 
 Series are cut by position into chunks with a halo (``plans.ordered``), so a long recording is spread over tasks; within a
 chunk a vectorised kernel takes the rolling median. Stuck stretches that cross chunks are joined by their boundary runs.
+Signal records are filtered where they lie; only a row of facts a record is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.plans.ordered import bucketed_rank, chunk_with_halo
@@ -21,6 +24,8 @@ HALF = 6
 LONGEST, FACTOR, STUCK, TWICE = 5, 10.0, 30, 2.0
 #: Hampel filter: times the rolling median absolute deviation, scaled to a normal spread. The floor for resting sources is FACTOR ordinary changes.
 SIGMAS, NORMAL = 2.0, 1.4826
+#: Half width of the rolling window of a signal, in samples, and records that the kernel takes at once.
+SIGNAL_HALF, BLOCK = 10, 16
 
 FACTS = "session_id long, field string, kind string, chunk long, part long, value double, n long, t0 long, t1 long"
 FIELDS = ("xfront", "yfront")
@@ -153,29 +158,66 @@ def coordinate_outliers(diode: DataFrame, recordings: DataFrame) -> DataFrame:
     return outside.unionByName(hits).distinct()
 
 
-def _signal_stats(samples: Column) -> dict[str, Column]:
-    """Aggregates of one record's samples, without leaving the JVM."""
-    zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q"))
-    both = F.aggregate(samples, zero, lambda a, x: F.struct((a.s + x).alias("s"), (a.q + x.cast("long") * x).alias("q")))
-    return {"_n": F.size(samples), "_lo": F.array_min(samples), "_hi": F.array_max(samples), "_sums": both}
+def middle(stack: np.ndarray) -> np.ndarray:
+    """Median over the first axis, of odd length, which is sorted in place (odd-even transposition, on whole slices)."""
+    for r in range(n := len(stack)):
+        low, high = stack[r % 2 : n - 1 : 2], stack[r % 2 + 1 :: 2]
+        least = np.minimum(low, high)
+        np.maximum(low, high, out=high)
+        low[:] = least
+    return stack[n // 2]
+
+
+def signal_away(x: np.ndarray, half: int = SIGNAL_HALF) -> np.ndarray:
+    """How far each record (a row of samples) is off its path: a Hampel filter whose floor is still to come.
+
+    The largest distance from the rolling median among samples that are over SIGMAS scaled rolling MADs away. At the ends the
+    nearest whole window counts. Where more than half of a window is off, its median or its scaled MAD is, so these count too.
+    """
+    n = x.shape[1]
+    width = min(2 * half + 1, n - 1 + n % 2)
+    stack = np.moveaxis(sliding_window_view(x, width, axis=1), -1, 0)
+    median = middle(stack.copy())
+    mad = NORMAL * middle(np.abs(stack - median))
+    at = np.clip(np.arange(n) - width // 2, 0, n - width)
+    off = np.abs(x - median[:, at])
+    off[off <= SIGMAS * mad[:, at]] = 0
+    return np.max([off.max(axis=1), np.abs(median).max(axis=1), mad.max(axis=1)], axis=0)
+
+
+def _signal_facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per record the number of samples, their range and spread, and how far they are off their path; records of one length at once."""
+    for pdf in batches:
+        samples = [v[~pd.isna(v)].astype(np.int32) for v in pdf.pop("_v")]
+        lengths = np.array([len(v) for v in samples], dtype=np.int64)
+        facts = np.zeros((len(samples), 4))
+        for n in np.unique(lengths[lengths > 0]):
+            own = np.flatnonzero(lengths == n)
+            for i in (own[k : k + BLOCK] for k in range(0, len(own), BLOCK)):
+                x = np.stack([samples[k] for k in i])
+                mean = x.sum(axis=1, dtype=np.int64) / n
+                variance = (x.astype(np.int64) ** 2).sum(axis=1) / n - mean * mean
+                facts[i] = np.stack([x.min(axis=1), x.max(axis=1), np.sqrt(np.maximum(variance, 0.0)), signal_away(x)], axis=1)
+        out = pdf.assign(_n=lengths, _lo=facts[:, 0], _hi=facts[:, 1], _spread=facts[:, 2], _away=facts[:, 3])
+        yield out[lengths > 0]
 
 
 def signal_outliers(records: DataFrame, channels: DataFrame) -> DataFrame:
     """Implausible signal records: rec_id, field ``signal``.
 
     Among the first ``numvalidsamples`` samples: one reaches ADMaxValue in either sign, or all (of at least two) are equal,
-    or one lies over FACTOR times the channel's usual spread from zero. The usual spread is the median of the channel's record
-    standard deviations (an exact percentile of pre-rounded values, so its state is bounded by the distinct spreads).
-    Null timestamps take part; records without valid samples, or null arrays, give none; repeated records count each.
+    or the Hampel filter finds one off its path (``signal_away``), by over FACTOR times the channel's usual spread, the floor.
+    The usual spread is the median of the channel's record standard deviations (an exact percentile of pre-rounded values, so
+    its state is bounded by the distinct spreads). Null timestamps take part; null samples are left out; records without valid
+    samples, or null arrays, give none; repeated records count each.
     """
     n = F.least(F.greatest(F.coalesce("numvalidsamples", F.lit(0)), F.lit(0)), F.size("signal"))
-    valid = F.slice("signal", 1, n)
-    rows = records.select("rec_id", "session_id", "channelnumber", valid.alias("_v")).filter("size(_v) > 0").select("rec_id", "session_id", "channelnumber", *[c.alias(k) for k, c in _signal_stats(F.col("_v")).items()])
-    mean = F.col("_sums.s") / F.col("_n")
-    spread = F.sqrt(F.greatest(F.col("_sums.q") / F.col("_n") - mean * mean, F.lit(0.0)))
-    rows = rows.select("rec_id", "session_id", "channelnumber", "_n", "_lo", "_hi", F.round(spread, 3).alias("_spread"))
+    rows = records.select("rec_id", "session_id", "channelnumber", F.slice("signal", 1, n).alias("_v")).filter("size(_v) > 0")
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.drop("_v").dtypes)
+    rows = frozen(rows.mapInPandas(_signal_facts, f"{kinds}, _n long, _lo double, _hi double, _spread double, _away double"))
+    rows = rows.withColumn("_spread", F.round("_spread", 3))
     usual = rows.filter("_n > 1 and _hi > _lo").groupBy("session_id", "channelnumber").agg(F.percentile("_spread", 0.5).alias("_usual"))
     known = rows.join(usual, ["session_id", "channelnumber"], "left").join(channels.select("session_id", "channelnumber", "admax"), ["session_id", "channelnumber"], "left")
-    peak = F.greatest(F.abs(F.col("_lo").cast("int")), F.abs(F.col("_hi").cast("int")))
-    bad = F.coalesce(peak >= F.col("admax"), F.lit(False)) | ((F.col("_n") > 1) & (F.col("_lo") == F.col("_hi"))) | F.coalesce(peak > FACTOR * F.col("_usual"), F.lit(False))
+    full = F.greatest(F.abs("_lo"), F.abs("_hi")) >= F.col("admax")
+    bad = F.coalesce(full, F.lit(False)) | ((F.col("_n") > 1) & (F.col("_lo") == F.col("_hi"))) | F.coalesce(F.col("_away") > FACTOR * F.col("_usual"), F.lit(False))
     return known.filter(bad).select("rec_id", F.lit("signal").alias("field"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.units import UnitError, convert, parse_quantities, parse_unit
 from pulsegrid.operators.islands import periods_and_gaps
-from pulsegrid.operators.outliers import coordinate_outliers, hampel, signal_outliers
+from pulsegrid.operators.outliers import NORMAL, SIGMAS, coordinate_outliers, hampel, signal_away, signal_outliers
 from pulsegrid.operators.quantities import bit_volts
 from pulsegrid.operators.regrid import counter_increments, distribute, mark_uncovered
 from pulsegrid.plans.ordered import bucketed_lag, bucketed_rank, chunk_with_halo
@@ -157,3 +157,40 @@ def test_signals(spark):
     ch = spark.createDataFrame([(1, 3, 2047)], "session_id long, channelnumber int, admax int")
     assert {r.rec_id for r in signal_outliers(df, ch).collect()} == {20, 21, 22}
     assert signal_outliers(df.limit(0), ch).count() == 0
+
+
+def test_signal_away():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 20, 21, 64):
+        x = rng.integers(-9, 10, (5, n)).astype(np.int32)
+        x[:, n // 3 : n // 3 + 3] += 900
+        width = min(21, n - 1 + n % 2)
+        for row, got in zip(x, signal_away(x)):
+            want = 0.0
+            for i, v in enumerate(row):
+                a = min(max(i - width // 2, 0), n - width)
+                median = np.median(row[a : a + width])
+                mad = NORMAL * np.median(np.abs(row[a : a + width] - median))
+                want = max(want, abs(median), mad, abs(v - median) if abs(v - median) > SIGMAS * mad else 0)
+            assert got == pytest.approx(want)
+
+
+def test_signals_off_their_path(spark):
+    """A sample is held against the record's own path: its rolling median, and its rolling MAD."""
+    rng = np.random.default_rng(6)
+    noise = lambda n=200: rng.integers(-9, 10, n)
+    records = {i: noise() for i in range(30)}  # usual spread 5.5, so the floor is 55
+    records[100] = noise() - 35
+    records[100][90:93] = 35  # within 55 of zero, 70 off the path
+    records[101] = noise()
+    records[101][:4] = 90  # at the edge of the record
+    records[102] = noise()
+    records[102][50:90] = 90  # the median follows it
+    records[103] = noise()
+    records[103][50:90] = [90, -90] * 20  # the MAD does
+    records[104] = (50 * np.sin(np.arange(200) / 9)).astype(int)  # a wave within the floor
+    records[105] = np.array([60, 30, 0, -30, -60] * 40)  # its own spread is wide: no few samples are off it
+    rows = [(i, 1, 3, len(v), [int(k) for k in v]) for i, v in records.items()] + [(200, 1, 3, 4, [1, None, 2, 900]), (201, 1, 3, 2, [None, None])]
+    df = spark.createDataFrame(rows, "rec_id long, session_id long, channelnumber int, numvalidsamples int, signal array<smallint>")
+    ch = spark.createDataFrame([(1, 3, 2047)], "session_id long, channelnumber int, admax int")
+    assert {r.rec_id for r in signal_outliers(df, ch).collect()} == {100, 101, 102, 103, 200}
