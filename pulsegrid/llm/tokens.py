@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.session import frozen
+
 #: Default folder of the vocabulary files; pass ``folder`` to use another.
 FOLDER = os.environ.get("PULSEGRID_TOKENIZERS", "/opt/tokenizers")
 #: Most words kept in the literal dictionary (a bound on what is collected and sent to tasks).
@@ -138,9 +140,10 @@ class Encoder:
         words = documents.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         words = words.observe(seen, F.max(F.octet_length("word")).alias("longest"))
         top = words.orderBy(F.desc("n"), "word").limit(self.limit)
-        top = top.filter(F.octet_length("word") <= LONG)
-        folded = top.repartition("word").select("word", let(self.maps, lambda m: fold_word(F.col("word"), m)).alias("ids"))
-        self.frequent = {r.word: list(r.ids) for r in folded.collect()}
+        top = frozen(top.filter(F.octet_length("word") <= LONG).repartition("word"))
+        folded = top.select("word", let(self.maps, lambda m: fold_word(F.col("word"), m)).alias("ids"))
+        # as an RDD: a SQL execution writes out its plan on the driver, literal maps and all, anew at the end of each of its stages
+        self.frequent = {r.word: list(r.ids) for r in folded.rdd.collect()}
         self.longest = seen.get["longest"] or 0
         return self
 

@@ -73,6 +73,19 @@ def test_best_fit():
     assert len(fill) <= max(-(-sizes.sum() // 512), (sizes > 256).sum()) * 1.01 + 1
 
 
+def test_fit_keeps_the_maps_out_of_the_plans(spark):
+    """The driver keeps the text of every SQL plan; with the literal rank map in it, one of a fit had over two million characters."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    encoder = Encoder().fit(spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string"))
+    bus.waitUntilEmpty()
+    kept = store.executionsList(before, 100)
+    assert kept.size() and max(len(kept.apply(i).physicalPlanDescription()) for i in range(kept.size())) < 100_000
+    assert {"Hello", "a", " spaces"} <= set(encoder.frequent) and encoder.longest == 700
+    assert all(ids == merge_queue(w.encode(), ranks()) for w, ids in encoder.frequent.items())
+
+
 def test_pack_groups(spark, monkeypatch):
     """With several groups every window stays near the corpus' mixture, and the running deficit carries over windows and groups."""
     from pulsegrid.llm import packing
