@@ -38,7 +38,8 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float,
     ordered = [F.col(o) for o in dict.fromkeys([*order, *[v for v, (kind, x) in zip(values, specs.values()) if x is not None and kind in ("lag", "lead", "last", "next")]])]
     rank_of = F.struct(*[x for o in ordered for x in (o.isNotNull(), o)])
     inner = Window.partitionBy("__key", "__bucket").orderBy(*ordered)
-    upto, ahead = inner.rowsBetween(Window.unboundedPreceding, 0), inner.rowsBetween(0, Window.unboundedFollowing)
+    # Spark reads a frame that ends at the last row anew for every row, so what lies ahead is read backwards
+    upto, ahead = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (inner, Window.partitionBy("__key", "__bucket").orderBy(*[o.desc() for o in ordered])))
     outer = Window.partitionBy("__key").orderBy("__bucket")
     prior, later = outer.rowsBetween(Window.unboundedPreceding, -1), outer.rowsBetween(1, Window.unboundedFollowing)
     whole = Window.partitionBy("__key")
@@ -57,7 +58,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float,
             out[name] = F.greatest(i, c)
         elif kind in ("last", "next"):
             known = F.when(x.isNotNull(), rank_of)
-            inside[i] = F.last(x, True).over(upto) if kind == "last" else F.first(x, True).over(ahead)
+            inside[i] = F.last(x, True).over(upto if kind == "last" else ahead)
             sums[s] = F.max_by(x, known) if kind == "last" else F.min_by(x, known)
             carries[c] = F.last(s, True).over(prior) if kind == "last" else F.first(s, True).over(later)
             out[name] = F.coalesce(i, c)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import re
 
 import pandas as pd
 import pytest
@@ -115,3 +116,26 @@ def test_density_over_all_days(spark, folder):
     for r in entry.queries()["ev_density"](spark, folder[0]).collect():
         total[r.k] = total.get(r.k, 0) + r.density * 8640
     assert set(total) == {"a", "b"} and all(0.99 < x < 1.01 for x in total.values())
+
+
+def frames_read_anew(df):
+    """Window frames that end at the last row and start at none: Spark reads their rows once per row."""
+    return set(re.findall(r"RowFrame, (?!unboundedpreceding)[^,]+, unboundedfollowing", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def plateaus(y):
+    """First sample, last sample and value of each run of equal values."""
+    cuts = [0, *[i for i in range(1, len(y)) if y[i] != y[i - 1]], len(y)]
+    return [(a, z - 1, y[a]) for a, z in zip(cuts, cuts[1:])]
+
+
+def test_extrema_of_a_long_signal(spark, tmp_path):
+    """All samples of the key lie in one bucket; many extrema are plateaus."""
+    y = [float(i * i % 7919 * 37 % 211 // 4) * 4 for i in range(30_000)]
+    rows = pd.DataFrame({"event_id": range(len(y)), "event_type": "a", "user_id": 1, "value": y, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(range(len(y)), unit="min")})
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long, value double, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    found = entry.queries()["sig_extrema_range"](spark, str(tmp_path))
+    assert not {f for f in frames_read_anew(found) if "currentrow" in f}
+    runs = plateaus(y)
+    want = [("a", (a + z) / 2, v, "max") for (_, _, p), (a, z, v), (_, _, n) in zip(runs, runs[1:], runs[2:]) if v > p and v > n and 60 <= v <= 200]
+    assert len(want) > 1000 and any(p % 1 for _, p, _, _ in want) and sorted(map(tuple, found.collect())) == want
