@@ -41,7 +41,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float,
     # Spark reads a frame that ends at the last row anew for every row, so what lies ahead is read backwards
     upto, ahead = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (inner, Window.partitionBy("__key", "__bucket").orderBy(*[o.desc() for o in ordered])))
     outer = Window.partitionBy("__key").orderBy("__bucket")
-    prior, later = outer.rowsBetween(Window.unboundedPreceding, -1), outer.rowsBetween(1, Window.unboundedFollowing)
+    prior, later = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (outer, Window.partitionBy("__key").orderBy(F.desc("__bucket"))))
     whole = Window.partitionBy("__key")
     inside: dict[str, Column] = {}
     sums: dict[str, Column] = {}
@@ -60,7 +60,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float,
             known = F.when(x.isNotNull(), rank_of)
             inside[i] = F.last(x, True).over(upto if kind == "last" else ahead)
             sums[s] = F.max_by(x, known) if kind == "last" else F.min_by(x, known)
-            carries[c] = F.last(s, True).over(prior) if kind == "last" else F.first(s, True).over(later)
+            carries[c] = F.last(s, True).over(prior if kind == "last" else later)
             out[name] = F.coalesce(i, c)
         elif kind in ("lag", "lead"):
             row = F.struct(x.alias("x"))

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from pulsegrid.operators import signals as SG
 
 
 @pytest.fixture(scope="module")
@@ -139,3 +140,14 @@ def test_extrema_of_a_long_signal(spark, tmp_path):
     runs = plateaus(y)
     want = [("a", (a + z) / 2, v, "max") for (_, _, p), (a, z, v), (_, _, n) in zip(runs, runs[1:], runs[2:]) if v > p and v > n and 60 <= v <= 200]
     assert len(want) > 1000 and any(p % 1 for _, p, _, _ in want) and sorted(map(tuple, found.collect())) == want
+
+
+def test_extrema_over_many_buckets(spark):
+    """20,000 buckets of one key, and plateaus that go over several of them: the carry from later buckets is one pass too."""
+    y = [float(i // (1 + i // 20_000 * 6) * 37 % 101 // 2) for i in range(40_000)]
+    d = spark.createDataFrame(pd.DataFrame({"k": "a", "i": range(len(y)), "y": y}))
+    found = SG.extrema(d, ["k"], bucket=2.0)
+    assert not frames_read_anew(found)
+    runs = plateaus(y)
+    want = [("a", (a + z) / 2, v, "max" if v > p else "min") for (_, _, p), (a, z, v), (_, _, n) in zip(runs, runs[1:], runs[2:]) if (v > p) == (v > n)]
+    assert len(want) > 10_000 and any(z - a > 4 for a, z, _ in runs) and sorted(map(tuple, found.collect())) == want
